@@ -27,7 +27,7 @@ def residue_count(seq: str | Column, residues: str) -> Column:
 
 def weighted_residues(seq: str | Column, weights: dict[str, int]) -> Column:
     """Integer sum of residue weights, by a letter-indexed array; other characters weigh 0."""
-    table = F.array(*[F.lit(weights.get(chr(65 + i), 0)) for i in range(26)])
+    table = F.expr(f"array({', '.join(str(weights.get(chr(65 + i), 0)) for i in range(26))})")
     return F.aggregate(
         F.split(col(seq), ""),
         F.lit(0),

@@ -33,7 +33,7 @@ def agreement(rows: DataFrame, cluster: str = "cluster", label: str = "label") -
     # three one-row tables
     one = inside.join(margin(cluster, "a"), "_k").join(margin(label, "b"), "_k")
     n = F.col("n_a")
-    expected = F.col("p_a") * F.col("p_b") / pairs(n)
+    expected = F.try_divide(F.col("p_a") * F.col("p_b"), pairs(n))
     best = (F.col("p_a") + F.col("p_b")) / 2
     ha = F.ln(n) - F.col("h_a") / n
     hb = F.ln(n) - F.col("h_b") / n
@@ -41,7 +41,7 @@ def agreement(rows: DataFrame, cluster: str = "cluster", label: str = "label") -
     mean_h = (ha + hb) / 2
     return one.select(
         F.when(best == expected, 1.0)
-        .otherwise((F.col("p_both") - expected) / (best - expected))
+        .otherwise(F.try_divide(F.col("p_both") - expected, best - expected))
         .alias("ari"),
         F.when(mean_h > 0, (ha + hb - hab) / mean_h).otherwise(1.0).alias("nmi"),
     )
@@ -60,7 +60,7 @@ def composition(rows: DataFrame, cluster: str = "cluster", case: str = "case") -
     a, b = F.col("n_case"), F.col("n_control")
     c = F.col("_t.case") - a
     d = (F.col("_t.n") - F.col("_t.case")) - b
-    share, overall = a / F.col("n_samples"), F.col("_t.case") / F.col("_t.n")
+    share, overall = a / F.col("n_samples"), F.try_divide(F.col("_t.case"), F.col("_t.n"))
     return t.select(
         cluster,
         "n_samples",
@@ -68,7 +68,7 @@ def composition(rows: DataFrame, cluster: str = "cluster", case: str = "case") -
         "n_control",
         share.alias("case_frac"),
         (share / (overall + 1e-6)).alias("enrichment"),
-        F.when((b > 0) & (c > 0), a.cast("double") * d / (b.cast("double") * c)).alias("odds_ratio"),
+        F.try_divide(a.cast("double") * d, b.cast("double") * c).alias("odds_ratio"),
         fisher_p(a, b, c, d).alias("p_value"),
         F.when(share > overall, "case-enriched").otherwise("control-enriched").alias("enriched_in"),
     )

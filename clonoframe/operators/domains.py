@@ -11,6 +11,7 @@ from clonoframe.functions import sequence as Q
 from clonoframe.functions.tails import fisher_p
 from clonoframe.operators import ranktests as R
 from clonoframe.operators.running import running_totals
+from clonoframe.session import cut_lineage
 
 DOMAINS = {
     "length_class": "CDR3 Length",
@@ -60,8 +61,8 @@ def domain_significance(rows: DataFrame, case="case", control="control", group="
     counts = domain_counts(rows, case, control, group)
     a, b = F.col("n_case"), F.col("n_control")
     c, d = F.col("total_case") - a, F.col("total_control") - b
-    odds = (a.cast("double") * d) / (b.cast("double") * c)
-    error = F.sqrt(1.0 / a + 1.0 / b + 1.0 / c + 1.0 / d)
+    odds = F.try_divide(a.cast("double") * d, b.cast("double") * c)
+    error = F.sqrt(sum((F.try_divide(F.lit(1.0), x) for x in (a, b, c, d)), F.lit(0.0)))
     filled = (a > 0) & (b > 0) & (c > 0) & (d > 0)
     tests = counts.select(
         "domain", "category", "n_case", "n_control",
@@ -76,8 +77,8 @@ def domain_significance(rows: DataFrame, case="case", control="control", group="
 def frequency_redistribution(rows: DataFrame, case="case", control="control") -> DataFrame:
     """Per category: share of case, share of control, and their ratio."""
     counts = domain_counts(rows, case, control)
-    fc = F.col("n_case") / F.col("total_case")
-    fk = F.col("n_control") / F.col("total_control")
+    fc = F.try_divide(F.col("n_case"), F.col("total_case"))
+    fk = F.try_divide(F.col("n_control"), F.col("total_control"))
     return counts.select(
         "domain", "category", fc.alias("case_freq"), fk.alias("control_freq"),
         (fc / (fk + 1e-6)).alias("ratio"),
@@ -97,8 +98,8 @@ def family_shares(
     ).scalar()
     shares = counts.withColumn("_t", total).select(
         "v_family",
-        (F.col("n_case") / F.col("_t.case")).alias("case_freq"),
-        (F.col("n_control") / F.col("_t.control")).alias("control_freq"),
+        F.try_divide(F.col("n_case"), F.col("_t.case")).alias("case_freq"),
+        F.try_divide(F.col("n_control"), F.col("_t.control")).alias("control_freq"),
     )
     if families is not None:
         shares = shares.filter(F.col("v_family").isin(list(families)))
@@ -130,8 +131,10 @@ def expansion_gradient(rows: DataFrame, count: str = "count", case="case", contr
     # log1p is monotone: ranking the integer counts gives the same test
     hist = R.value_histogram(kept.withColumn("test", F.lit("expansion")), ["test"], count, inside)
     means = hist.groupBy("test").agg(
-        (F.sum(F.col("n_in") * F.log1p("value")) / F.sum("n_in")).alias("case_mean"),
-        (F.sum(F.col("n_out") * F.log1p("value")) / F.sum("n_out")).alias("control_mean"),
+        F.try_divide(F.sum(F.col("n_in") * F.log1p("value")), F.sum("n_in")).alias("case_mean"),
+        F.try_divide(F.sum(F.col("n_out") * F.log1p("value")), F.sum("n_out")).alias(
+            "control_mean"
+        ),
     )
     return means.join(R.rank_statistics(hist, ["test"], bounded=True, pvalue=pvalue), "test").drop(
         "test"
@@ -172,26 +175,25 @@ def centroid_shift(rows: DataFrame, axis: str, case="case", control="control",
     mass = {"case_upto": "n_in", "_ord": "_one"}
     # neighbours among distinct case values: running position of case values, joined on it
     marked = hist.withColumn("_one", (F.col("n_in") > 0).cast("long"))
-    placed = running_totals(marked, ["feature"], "value", mass)
-    size = hist.agg(F.sum("n_in")).scalar().cast("double")
+    placed = cut_lineage(running_totals(marked, [], "value", mass))
+    size = placed.agg(F.sum("n_in")).scalar().cast("double")
     knots = placed.filter(F.col("n_in") > 0)
     low = knots.select(
-        "feature", F.col("_ord").alias("_lo"), F.col("value").alias("x0"),
-        (F.col("case_upto") - 1).alias("y0"),
+        F.col("_ord").alias("_lo"), F.col("value").alias("x0"), (F.col("case_upto") - 1).alias("y0")
     )
     high = knots.select(
-        "feature", (F.col("_ord") - 1).alias("_hi"), F.col("value").alias("x1"),
+        (F.col("_ord") - 1).alias("_hi"),
+        F.col("value").alias("x1"),
         (F.col("case_upto") - F.col("n_in")).alias("y1"),
     )
     points = (
         placed.filter(F.col("n_out") > 0)
-        .join(low, [placed["feature"] == low["feature"], F.col("_ord") == F.col("_lo")], "left")
-        .drop(low["feature"])
-        .join(high, [placed["feature"] == high["feature"], F.col("_ord") == F.col("_hi")], "left")
-        .drop(high["feature"])
+        .select("feature", "value", "n_out", "_ord")
+        .join(low, F.col("_ord") == F.col("_lo"), "left")
+        .join(high, F.col("_ord") == F.col("_hi"), "left")
     )
     between = F.col("y0") + (F.col("y1") - F.col("y0")) * (
-        (F.col("value") - F.col("x0")) / (F.col("x1") - F.col("x0"))
+        F.try_divide(F.col("value") - F.col("x0"), F.col("x1") - F.col("x0"))
     )
     step = (
         F.when(F.col("x0").isNull(), 0.0)
@@ -205,19 +207,20 @@ def centroid_shift(rows: DataFrame, axis: str, case="case", control="control",
             F.sum(F.col("n_out") * F.least(F.col("_f"), 1 - F.col("_f"))) / F.sum("n_out")
         ).alias("overlap")
     )
-    means = hist.groupBy("feature").agg(
+    means = placed.groupBy("feature").agg(
         F.abs(
             F.sum(F.col("n_in") * F.col("value")) / F.sum("n_in")
             - F.sum(F.col("n_out") * F.col("value")) / F.sum("n_out")
         ).alias("shift")
     )
-    tests = R.rank_statistics(hist, ["feature"], pvalue=pvalue)
+    tests = R.rank_statistics(placed.select("feature", "value", "n_in", "n_out"), ["feature"],
+                              pvalue=pvalue)
     return means.join(overlap, "feature").join(tests, "feature").withColumnRenamed(
         "feature", "axis"
     )
 
 
-def modified_peptides(pairs: DataFrame) -> DataFrame:
+def modified_peptides(pairs: DataFrame, digits: int = 3) -> DataFrame:
     """Charge and hydropathy of native and modified peptides and their differences.
 
     ``pairs`` is (name, native, modified); X stands for the modified residue with charge 0
@@ -233,10 +236,10 @@ def modified_peptides(pairs: DataFrame) -> DataFrame:
         "name",
         native.alias("native_charge"),
         changed.alias("modified_charge"),
-        F.round(hydro("native"), 3).alias("native_hydro"),
-        F.round(hydro("modified"), 3).alias("modified_hydro"),
+        F.round(hydro("native"), digits).alias("native_hydro"),
+        F.round(hydro("modified"), digits).alias("modified_hydro"),
         (changed - native).alias("delta_charge"),
-        F.round(hydro("modified") - hydro("native"), 3).alias("delta_hydro"),
+        F.round(hydro("modified") - hydro("native"), digits).alias("delta_hydro"),
     )
 
 

@@ -258,11 +258,11 @@ def gene_statistics(clones: DataFrame, weight: str | None = None) -> DataFrame:
 
     def entropy(level: str) -> Column:
         w = F.col(f"_{level}_w")
-        return F.ln(w) - F.col(f"_{level}_wlnw") / w
+        return F.ln(w) - F.try_divide(F.col(f"_{level}_wlnw"), w)
 
     def simpson(level: str) -> Column:
         w = F.col(f"_{level}_w")
-        return 1 - F.col(f"_{level}_ww") / (w * w)
+        return 1 - F.try_divide(F.col(f"_{level}_ww"), w * w)
 
     pairs, n_v, n_j = F.col("_pair_n"), F.col("_v_n"), F.col("_j_n")
     return per.select(
@@ -270,7 +270,7 @@ def gene_statistics(clones: DataFrame, weight: str | None = None) -> DataFrame:
         pairs.cast("long").alias("vj_n_unique_pairs"),
         entropy("pair").alias("vj_pair_entropy"),
         simpson("pair").alias("vj_pair_simpson"),
-        (F.col("_pair_top") / F.col("_pair_w")).alias("vj_max_pair_frac"),
+        F.try_divide(F.col("_pair_top"), F.col("_pair_w")).alias("vj_max_pair_frac"),
         entropy("v").alias("vj_v_entropy"),
         simpson("v").alias("vj_v_simpson"),
         entropy("j").alias("vj_j_entropy"),
@@ -298,7 +298,7 @@ def pairing_statistics(clones: DataFrame) -> DataFrame:
     )
     return per.select(
         "sample_id",
-        F.when(both, F.ln("_w") - F.col("_wlnw") / F.col("_w")).alias("pairing_diversity"),
+        F.when(both, F.ln("_w") - F.try_divide(F.col("_wlnw"), F.col("_w"))).alias("pairing_diversity"),
         F.when(both, F.col("_n")).alias("pairing_n"),
     )
 

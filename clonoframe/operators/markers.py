@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from clonoframe.functions.sequence import kmers
 from clonoframe.functions.tails import fisher_p
 from clonoframe.operators import ranktests as R
+from clonoframe.session import cut_lineage
 
 
 def statistical_markers(
     features: DataFrame, columns: Sequence[str], fdr: float = 0.05, group: str = "group"
 ) -> DataFrame:
     """Every feature against every group with at least two samples on both sides."""
+    features = cut_lineage(features.select("sample_id", group, *columns))
     rows = R.melt(features, ["sample_id", group], columns)
-    groups = features.filter(F.col(group).isNotNull()).select(group).distinct()
-    tests = R.group_against_rest(rows, groups, group=group)
+    tests = R.group_against_rest(rows, R.group_names(features, group), group=group)
     out = R.adjust_fdr(tests)
     return out.withColumn("significant", F.col("padj") < fdr)
 

@@ -49,10 +49,10 @@ def roc_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     curve = score_curve(scored, by)
     area = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
-    youden = F.col("tp") / p - F.col("fp") / n
+    youden = ratio(F.col("tp"), p) - ratio(F.col("fp"), n)
     best = F.max_by(
         F.struct(F.col("score").alias("threshold"), youden.alias("j"),
-                 (F.col("tp") / p).alias("sens"), (1 - F.col("fp") / n).alias("spec")),
+                 ratio(F.col("tp"), p).alias("sens"), (1 - ratio(F.col("fp"), n)).alias("spec")),
         F.struct(F.round(youden, 12), F.col("score")),
     )
     per = curve.groupBy(*by).agg(
@@ -74,7 +74,7 @@ def pr_points(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return curve.select(
         *by,
         F.col("score").alias("threshold"),
-        (F.col("tp") / F.col("p")).alias("recall"),
+        ratio(F.col("tp"), F.col("p")).alias("recall"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
     )
 
@@ -90,7 +90,7 @@ def pr_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     here = tp / (tp + fp)
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
     before = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0)
-    gain = F.col("pos") / p
+    gain = ratio(F.col("pos"), p)
     return curve.groupBy(*by).agg(
         F.sum(gain * here).alias("average_precision"),
         F.sum(gain * (here + before) / 2).alias("auc_pr"),

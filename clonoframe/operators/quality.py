@@ -60,7 +60,7 @@ def with_frequency(clones: DataFrame, key: str = "sample_id") -> DataFrame:
     """
     totals = clones.groupBy(key).agg(F.sum("count").cast("double").alias("_reads"))
     shares = clones.drop("freq").join(totals, key)
-    return shares.withColumn("freq", F.col("count") / F.col("_reads")).drop("_reads")
+    return shares.withColumn("freq", F.try_divide(F.col("count"), F.col("_reads"))).drop("_reads")
 
 
 def chain_counts(clones: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clonoframe.functions.tails import EXACT_LIMIT, correlation_p, rank_sum_p
 from clonoframe.operators.running import running_minimum_from_top, running_totals
+from clonoframe.session import cut_lineage
 
 DIGITS = 9
 
@@ -114,55 +115,74 @@ def adjust_fdr(tests: DataFrame, p: str = "pval", out: str = "padj", drop_na: bo
 
 
 def group_against_rest(
-    rows: DataFrame, groups: DataFrame, value: str = "value", group: str = "group"
+    rows: DataFrame, groups: Sequence[str], value: str = "value", group: str = "group"
 ) -> DataFrame:
     """Statistics per (feature, group) of one group against all others.
 
-    Histograms are taken per group once; "the rest" is the total minus the group.
+    One aggregation counts every group per distinct value; "the rest" is the total minus
+    the group, so no group is compared through a join.
     """
     labelled = rows.filter(F.col(group).isNotNull())
-    per = labelled.groupBy("feature", value, group).agg(F.count(F.lit(1)).alias("n"))
-    totals = per.groupBy("feature", value).agg(F.sum("n").alias("n_all"))
-    # every (feature, value) is needed for every tested group, also where the group has none
-    names = groups.agg(F.sort_array(F.collect_set(group)).alias("names")).scalar()
-    grid = totals.select("feature", value, "n_all", F.explode(names).alias(group))
-    hist = grid.join(per, ["feature", value, group], "left").select(
+
+    def per_group(count_all: Column, count_one) -> Column:
+        """Array over the groups of (name, inside, outside)."""
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(g).alias("g"),
+                    count_one(F.col(group) == g).alias("inside"),
+                    (count_all - count_one(F.col(group) == g)).alias("outside"),
+                )
+                for g in groups
+            ]
+        )
+
+    counts = labelled.groupBy("feature", F.col(value).alias("value")).agg(
+        per_group(F.count(F.lit(1)), lambda f: F.sum(f.cast("long"))).alias("_g")
+    )
+    hist = counts.select("feature", "value", F.explode("_g").alias("_g")).select(
         "feature",
-        group,
-        F.col(value).alias("value"),
-        F.coalesce("n", F.lit(0)).alias("n_in"),
-        (F.col("n_all") - F.coalesce("n", F.lit(0))).alias("n_out"),
+        F.col("_g.g").alias(group),
+        "value",
+        F.col("_g.inside").alias("n_in"),
+        F.col("_g.outside").alias("n_out"),
     )
-    tested = rank_statistics(hist, ["feature", group])
-    sums = labelled.groupBy("feature", group).agg(
-        F.sum(value).alias("s"), F.count(value).alias("m")
+    sums = labelled.groupBy("feature").agg(
+        per_group(
+            F.sum(value), lambda f: F.sum(F.when(f, F.col(value)).otherwise(0.0))
+        ).alias("_g")
     )
-    whole = sums.groupBy("feature").agg(F.sum("s").alias("s_all"), F.sum("m").alias("m_all"))
-    means = sums.join(whole, "feature").select(
-        "feature",
-        group,
-        (F.col("s") / F.col("m")).alias("mean_in"),
-        F.when(
-            F.col("m_all") > F.col("m"),
-            (F.col("s_all") - F.col("s")) / (F.col("m_all") - F.col("m")),
-        ).alias("mean_out"),
+    sums = sums.select("feature", F.explode("_g").alias("_g")).select(
+        "feature", F.col("_g.g").alias(group), F.col("_g.inside").alias("_s_in"),
+        F.col("_g.outside").alias("_s_out"),
     )
     usable = (F.col("n_in") >= 2) & (F.col("n_out") >= 2)
+    mean_in, mean_out = F.col("_s_in") / F.col("n_in"), F.col("_s_out") / F.col("n_out")
     return (
-        tested.filter(usable)
-        .join(means, ["feature", group])
-        .withColumn("mean_diff", F.col("mean_in") - F.col("mean_out"))
+        rank_statistics(hist, ["feature", group])
+        .filter(usable)
+        .join(sums, ["feature", group])
+        .withColumn("mean_in", mean_in)
+        .withColumn("mean_out", mean_out)
+        .withColumn("mean_diff", mean_in - mean_out)
+        .drop("_s_in", "_s_out")
     )
 
 
+def group_names(features: DataFrame, group: str = "group") -> list[str]:
+    """Distinct group labels of a sample table."""
+    rows = features.filter(F.col(group).isNotNull()).select(group).distinct().orderBy(group)
+    return [r[group] for r in rows.collect()]
+
+
 def rank_correlation(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Spearman correlation and p of column pairs, ranking each column over value ranges."""
     names = sorted({c for pair in pairs for c in pair})
-    long = melt(rows.withColumn("_row", F.monotonically_increasing_id()), ["_row"], names)
+    long = melt(rows, [], names)
     hist = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("t"))
     upto = running_totals(hist, ["feature"], "value", {"upto": "t"})
-    ranks = upto.select(
-        "feature", "value", (F.col("upto") - (F.col("t") - 1) / 2).alias("rank")
+    ranks = cut_lineage(
+        upto.select("feature", "value", (F.col("upto") - (F.col("t") - 1) / 2).alias("rank"))
     )
     ranked = rows.select(
         *[F.round(F.col(c).cast("double"), DIGITS).alias(c) for c in names]

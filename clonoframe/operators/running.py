@@ -4,7 +4,8 @@ Input is a histogram: one row per (group, value) with additive columns. Each gro
 into value ranges at a bounded set of split points, ranges are totalled, and the running
 total inside a range starts from the total of the ranges below it. The split points are
 the values with the smallest hashes, so they follow the data's distribution and every
-evaluation of the plan picks the same ones.
+evaluation of the plan picks the same ones. The histogram feeds three branches, so it is
+checkpointed first and whatever produced it runs once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clonoframe.session import cut_lineage
+
 RANGES = 64
 
 
@@ -49,7 +52,7 @@ def running_totals(
     single = not by
     if single:
         hist, by = hist.withColumn("_all", F.lit(1)), ["_all"]
-    ranged = with_range(hist, by, value, ranges)
+    ranged = with_range(cut_lineage(hist), by, value, ranges)
     blocks = ranged.groupBy(*by, "_range").agg(
         *[F.sum(source).alias(f"_block_{name}") for name, source in totals.items()]
     )
@@ -78,7 +81,8 @@ def running_minimum_from_top(
     hist: DataFrame, value: str, scored: str, out: str, ranges: int = RANGES
 ) -> DataFrame:
     """Minimum of ``scored`` over all rows whose value is at least this row's value."""
-    ranged = with_range(hist.withColumn("_all", F.lit(1)), ["_all"], value, ranges)
+    hist = cut_lineage(hist.withColumn("_all", F.lit(1)))
+    ranged = with_range(hist, ["_all"], value, ranges)
     blocks = ranged.groupBy("_all", "_range").agg(F.min(scored).alias("_low"))
     later = W.partitionBy("_all").orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = blocks.select("_all", "_range", F.min("_low").over(later).alias("_above"))

@@ -76,7 +76,7 @@ def pseudo_samples(
     )
     # a copy beyond the largest useful number can never be drawn, so the sequence stays short
     draws = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    blocks = draws.withColumn("_block", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1) / 4096)))
+    blocks = draws.withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr("(_copies - 1) div 4096"))))
     last = F.least(F.col("_copies") - 1, F.col("_block") * 4096 + 4095)
     chosen = F.filter(
         F.sequence(F.col("_block") * 4096, last),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clonoframe.functions.sequence import adjusted_kurtosis, adjusted_skew
 
-EXACT_RANKS = 64
+EXACT_RANKS = 32
 
 
 def count_spectrum(clones: DataFrame, key: str = "sample_id", count: str = "count") -> DataFrame:
@@ -60,13 +60,13 @@ def log_rank_sums(before: Column, m: Column) -> tuple[Column, Column]:
     """Sums of ln(rank) and ln(rank)^2 over the ranks before+1 ... before+m.
 
     Small ranks come from a table; the rest from the Euler-Maclaurin expansion, whose
-    error beyond rank 64 is below 1e-12.
+    error beyond rank 32 is below 1e-10.
     """
     last = before + m
     limit = F.lit(EXACT_RANKS)
 
     def block(power: int, tail) -> Column:
-        table = F.array(*[F.lit(v) for v in _prefix(power)])
+        table = F.expr(f"array({', '.join(f'{v!r}D' for v in _prefix(power))})")
         near = F.element_at(table, (F.least(last, limit) + 1).cast("int")) - F.element_at(
             table, (F.least(before, limit) + 1).cast("int")
         )
@@ -82,7 +82,7 @@ def reach_rank(share: float) -> Column:
     size, goal = F.col("size"), F.lit(share) * F.col("reads")
     start = F.col("reads_before")
     inside = (start < goal) & (start + size * F.col("m") >= goal - F.lit(1e-9) * F.col("reads"))
-    steps = F.greatest(F.lit(1), F.ceil((goal - start) / size - F.lit(1e-9)))
+    steps = F.greatest(F.lit(1), F.ceil(F.try_divide(goal - start, size) - F.lit(1e-9)))
     return F.when(inside, F.col("before") + steps)
 
 
@@ -92,7 +92,7 @@ def spectrum_statistics(spectrum: DataFrame, key: str = "sample_id") -> DataFram
     before = F.col("before").cast("double")
     positive = F.col("size") > 0
     ln_size = F.when(positive, F.ln(size)).otherwise(0.0)
-    share = size / reads
+    share = F.try_divide(size, reads)
     log_sum, log_square = log_rank_sums(F.col("before"), F.col("m"))
 
     def over_positive(value: Column) -> Column:
@@ -117,11 +117,11 @@ def spectrum_statistics(spectrum: DataFrame, key: str = "sample_id") -> DataFram
         F.sum(F.when(share > 0.01, F.col("m")).otherwise(0)).alias("hec_1pct"),
         F.sum(F.when(share > 0.05, F.col("m")).otherwise(0)).alias("hec_5pct"),
         F.sum(F.when(share > 0.01, m * share).otherwise(0.0)).alias("hec_sum_freq"),
-        (F.sum(kept * size) / F.max(reads)).alias("top5_freq"),
+        F.try_divide(F.sum(kept * size), F.max(reads)).alias("top5_freq"),
     )
     total, rows = F.col("reads").cast("double"), F.col("n").cast("double")
-    entropy = F.ln(total) - F.col("s_clnc") / total
-    squares = F.col("s_cc") / (total * total)
+    entropy = F.ln(total) - F.try_divide(F.col("s_clnc"), total)
+    squares = F.try_divide(F.col("s_cc"), total * total)
     pos = F.col("n_pos")
     slope = (pos * F.col("s_xy") - F.col("s_x") * F.col("s_y")) / (
         pos * F.col("s_xx") - F.col("s_x") * F.col("s_x")
@@ -139,7 +139,7 @@ def spectrum_statistics(spectrum: DataFrame, key: str = "sample_id") -> DataFram
         F.when(
             pos > 0, 2 * rank_mass / (pos * F.col("s_c_pos")) - (pos + 1) / pos
         ).alias("gini"),
-        (F.col("top") / total).alias("top_clone_frac"),
+        F.try_divide(F.col("top"), total).alias("top_clone_frac"),
         "top5_freq",
         "d50_index",
         "d20_index",
@@ -149,7 +149,7 @@ def spectrum_statistics(spectrum: DataFrame, key: str = "sample_id") -> DataFram
         F.when(
             total > 1, rows * (F.col("s_cc") - total) / (total * (total - 1))
         ).alias("morisita"),
-        (F.col("top") / total).alias("berger_parker"),
+        F.try_divide(F.col("top"), total).alias("berger_parker"),
         F.when(pos > 1, entropy / F.ln(pos)).alias("pielou_evenness"),
         (-F.ln(squares)).alias("renyi_q2"),
     )

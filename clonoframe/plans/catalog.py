@@ -25,6 +25,7 @@ from clonoframe.operators import (
     similarity,
     spectrum,
 )
+from clonoframe.session import cut_lineage
 from clonoframe.sources import star
 
 DIGITS = 6
@@ -455,10 +456,9 @@ def _(spark, d):
 
 @query("rank_test")
 def _(spark, d):
-    feats = sample_features(spark, d)
+    feats = cut_lineage(sample_features(spark, d))
     rows = ranktests.melt(feats, ["sample_id", "group"], TESTED)
-    groups = feats.select("group").distinct()
-    return ranktests.group_against_rest(rows, groups).select(
+    return ranktests.group_against_rest(rows, ranktests.group_names(feats)).select(
         "feature", "group", "n_in", "n_out", "u", "auc", "z", "mean_in", "mean_out", "mean_diff"
     )
 
@@ -538,7 +538,7 @@ def _(spark, d):
         F.col("cdr3_aa").alias("native"),
         F.replace(F.col("cdr3_aa"), F.lit("R"), F.lit("X")).alias("modified"),
     )
-    return domains.modified_peptides(pairs)
+    return domains.modified_peptides(pairs, digits=DIGITS)
 
 
 @query("property_comparison")

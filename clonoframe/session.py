@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +25,19 @@ def session(app: str = "clonoframe", cores: str | None = None, partitions: int |
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
+    """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Used where one table feeds several branches of a plan: it is then computed once and
+    survives lost executors. Only a local session without the setting gets a folder of its
+    own.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
