@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,7 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
     return star.clones(spark, d)
 
 
+@lru_cache(maxsize=4)
 def qc(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_filter(raw(spark, d))
 
@@ -702,3 +704,221 @@ def _(spark, d):
     from clonoframe.operators.plotdata import z_scored_long
 
     return z_scored_long(sample_features(spark, d), TESTED)
+
+
+# ---- learnt operators: compared by invariants in the tests --------------------------------------
+
+FOREST = 100
+
+
+@query("motif_pc1")
+def _(spark, d):
+    from clonoframe.operators.reduction import kmer_component
+
+    return kmer_component(qc(spark, d))
+
+
+@query("pca_embed")
+def _(spark, d):
+    from clonoframe.operators.reduction import concept_embedding
+
+    return concept_embedding(sample_features(spark, d), TESTED)[0]
+
+
+@query("kmeans_panel")
+def _(spark, d):
+    from clonoframe.operators import panels
+
+    vectors = panels.as_vectors(star.embeddings(spark, d))
+    model, _ = panels.train_panel(vectors, 20)
+    return prototypes.cluster_sizes(
+        model.transform(vectors).select(F.col("prototype").cast("long")),
+        panels.panel_centroids(model, spark),
+    )
+
+
+@query("saturation")
+def _(spark, d):
+    from clonoframe.operators import panels
+
+    vectors = panels.as_vectors(star.embeddings(spark, d)).select("vec_id", "_v")
+    rows = panels.saturation(
+        vectors, "vec_id", target=0.3, fractions=[0.25, 0.5, 1.0], candidates=[5, 10, 20, 40],
+        n_init=1, max_iter=20,
+    )
+    return spark.createDataFrame(rows)
+
+
+def learnt_counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Counts over a panel of 40 learnt prototypes, sample labels, prototype ids."""
+    from clonoframe.operators import panels
+
+    vectors = panels.as_vectors(star.embeddings(spark, d))
+    model, _ = panels.train_panel(vectors, 40, n_init=1, max_iter=20)
+    assigned = model.transform(vectors).select("vec_id", F.col("prototype").cast("long"))
+    counts = prototypes.sample_prototype_counts(
+        with_vectors(qc(spark, d), spark, d), assigned, "vec_id"
+    )
+    known = S.sample_meta(qc(spark, d)).select(
+        "sample_id", "group", (F.col("group") == "case").cast("double").alias("label")
+    )
+    return cut_lineage(counts), cut_lineage(known), list(range(40))
+
+
+@query("cluster_scan")
+def _(spark, d):
+    from clonoframe.operators import panels, reduction
+    from clonoframe.plans import tier2
+
+    counts, known, ids = learnt_counts(spark, d)
+    scores, _, _ = reduction.prototype_components(tier2.labelled_vectors(counts, known), ids, 10)
+    return panels.scan_clusters(cut_lineage(scores), "label", dims=10)[0]
+
+
+@query("svm_axis")
+def _(spark, d):
+    from clonoframe.operators import models, reduction
+    from clonoframe.plans import tier2
+
+    counts, known, ids = learnt_counts(spark, d)
+    vectors = tier2.labelled_vectors(counts, known)
+    rows = tier2.model_rows(vectors, ids)
+    model = models.estimator("svm", n_rows=rows.count()).fit(rows)
+    return reduction.disease_axis(vectors, ids, model.coefficients.toArray(), model.intercept)
+
+
+@query("pls_lda")
+def _(spark, d):
+    from clonoframe.operators import reduction
+    from clonoframe.plans import tier2
+
+    counts, known, ids = learnt_counts(spark, d)
+    vectors = tier2.labelled_vectors(counts, known)
+    pls = reduction.pls_scores(vectors, ids).select("sample_id", "group", "pls1", "pls2")
+    scores = cut_lineage(reduction.prototype_components(vectors, ids, 10)[0])
+    lda = reduction.discriminant_scores(scores).select("sample_id", "lda1")
+    return pls.join(lda, "sample_id")
+
+
+@query("svm_weights")
+def _(spark, d):
+    from clonoframe.plans import tier2
+
+    counts, known, ids = learnt_counts(spark, d)
+    cv = tier2.classify_samples(tier2.labelled_vectors(counts, known), ids, "svm")
+    weights = cv["weights"].select("fold", F.col("feature").cast("long").alias("prototype"), "weight")
+    return prototypes.weight_ranking(weights)
+
+
+@query("interpretation")
+def _(spark, d):
+    """V-gene enrichment between the most positive and most negative prototypes."""
+    from clonoframe.operators import models
+    from clonoframe.plans import tier2
+
+    counts, known, ids = learnt_counts(spark, d)
+    vectors = tier2.labelled_vectors(counts, known)
+    rows = tier2.model_rows(vectors, ids)
+    model = models.estimator("svm", n_rows=rows.count()).fit(rows)
+    weights = spark.createDataFrame(
+        [(0, int(p), float(w)) for p, w in zip(ids, model.coefficients)],
+        "fold int, prototype long, weight double",
+    )
+    clones = with_vectors(qc(spark, d), spark, d)
+    tables = tier2.interpret(clones, panel(spark, d), prototypes.weight_ranking(weights), key="vec_id",
+                             n_top=5)
+    return tables["v_gene_enrichment"]
+
+
+def training_rows(spark: SparkSession, d: str):
+    from clonoframe.operators import models
+
+    return models.prepare(sample_features(spark, d), TESTED)
+
+
+def member(name: str, method: str) -> None:
+    @query(name)
+    def _(spark, d):
+        from clonoframe.operators import models
+
+        rows, classes, used = training_rows(spark, d)
+        return models.cross_validate(rows, classes, used, method, n_trees=FOREST, n_rounds=20)[
+            "predictions"
+        ]
+
+
+member("classify_lr", "logistic")
+member("classify_rf", "rf")
+member("classify_gbt", "boosting")
+member("classify_svm", "svm")
+
+
+@query("classify_tree")
+def _(spark, d):
+    from clonoframe.operators import models
+
+    return models.classify(sample_features(spark, d), TESTED, "tree")[1]
+
+
+@query("classify_lasso")
+def _(spark, d):
+    from clonoframe.operators import models
+
+    rows, classes, used = training_rows(spark, d)
+    return models.tuned_regularized(rows, classes, used, "lasso", lambdas=(0.1, 0.01))["weights"]
+
+
+@query("classify_ensemble")
+def _(spark, d):
+    from clonoframe.operators import models
+
+    rows, classes, used = training_rows(spark, d)
+    return models.classify_ensemble(
+        rows, classes, used, ("logistic", "lasso", "tree"), voting="soft"
+    )[0]
+
+
+@query("cv_metrics")
+def _(spark, d):
+    from clonoframe.operators import models
+
+    rows, classes, used = training_rows(spark, d)
+    return models.fold_summary(
+        models.cross_validate(rows, classes, used, "logistic")["folds"]
+    )
+
+
+@query("linear_attribution")
+def _(spark, d):
+    from clonoframe.operators import models
+
+    feats = cut_lineage(sample_features(spark, d))
+    rows, classes, used = models.prepare(feats, TESTED)
+    model = models.estimator("logistic").fit(rows)
+    return models.linear_attribution(model, feats, used, classes)
+
+
+@query("sequence_benchmark")
+def _(spark, d):
+    from clonoframe.plans.benchmark import benchmark_sequences
+    from clonoframe.sources.pools import antigen_dataset
+
+    clones = qc(spark, d)
+    rows = antigen_dataset(
+        clones.filter(F.col("group") == "case"), clones.filter(F.col("group") == "control")
+    )
+    return benchmark_sequences("case", rows, n_trees=FOREST)["summary"]
+
+
+@query("sequence_map")
+def _(spark, d):
+    from clonoframe.operators.maps import build_map
+
+    return build_map(qc(spark, d))
+
+
+@query("map_summary")
+def _(spark, d):
+    from clonoframe.operators.maps import build_map, map_summary
+
+    return map_summary(cut_lineage(build_map(qc(spark, d))))

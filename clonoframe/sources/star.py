@@ -6,23 +6,35 @@ genes are functions of the part, so they are computed once per part before the j
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEX_TO_RESIDUE = ("0123456789abcdef", "ASSLGQDTEYNRVPKI")
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def receptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
+    """Sequence and genes per part.
+
+    They are derived from a generated copy of the key. Derived from the join key itself,
+    every filter on a sequence would be inferred for the line items too, and the hashing
+    repeated per line item.
+    """
+    key = F.col("_key")
     body = F.translate(F.md5(key.cast("string")), *HEX_TO_RESIDUE)
     tail = (
         F.when(key % 23 == 0, "*").when(key % 2 == 0, "F").when(key % 31 == 0, "A").otherwise("W")
     )
-    return table(spark, sf_dir, "part").select(
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_size", F.explode(F.array("p_partkey")).alias("_key")
+    )
+    return parts.select(
         "p_partkey",
         F.concat(F.lit("C"), F.substring(body, F.lit(1), (4 + key % 16).cast("int")), tail).alias(
             "cdr3_aa"
@@ -38,6 +50,7 @@ def receptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=4)
 def clones(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select(
         "s_suppkey",
