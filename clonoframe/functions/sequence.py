@@ -37,7 +37,7 @@ def weighted_residues(seq: str | Column, weights: dict[str, int]) -> Column:
 
 
 def share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
 
 
 def net_charge(seq: str | Column) -> Column:
@@ -181,7 +181,7 @@ def charge_moments(seq: str | Column) -> tuple[Column, Column]:
         (-1.0, residue_count(seq, "DE").cast("double")),
     ]
     neutral = n - counts[0][1] - counts[1][1] - counts[2][1]
-    mean = net_charge(seq) / n
+    mean = F.try_divide(net_charge(seq), n)
     values = [*counts, (0.0, neutral)]
 
     def central_moment(power: int) -> Column:
@@ -191,26 +191,26 @@ def charge_moments(seq: str | Column) -> tuple[Column, Column]:
             for _ in range(power):
                 term = term * gap
             total = total + term
-        return total / n
+        return F.try_divide(total, n)
 
     m2, m3, m4 = central_moment(2), central_moment(3), central_moment(4)
     flat = m2 <= 1e-15
-    skew = F.when((n >= 3) & ~flat, adjusted_skew(n, m3 / F.pow(m2, F.lit(1.5))))
-    kurt = F.when((n >= 4) & ~flat, adjusted_kurtosis(n, m4 / (m2 * m2) - 3))
+    skew = F.when((n >= 3) & ~flat, adjusted_skew(n, F.try_divide(m3, F.pow(m2, F.lit(1.5)))))
+    kurt = F.when((n >= 4) & ~flat, adjusted_kurtosis(n, F.try_divide(m4, m2 * m2) - 3))
     return skew, kurt
 
 
 def adjusted_skew(n: Column, g1: Column) -> Column:
-    return F.when(n >= 3, F.sqrt(n * (n - 1)) / (n - 2) * g1)
+    return F.when(n >= 3, F.try_divide(F.sqrt(n * (n - 1)), n - 2) * g1)
 
 
 def adjusted_kurtosis(n: Column, g2: Column, compat: bool = False) -> Column:
     """Unbiased excess kurtosis; ``compat`` gives the historically coded scaling instead."""
     if compat:
-        lead = n * (n + 1) / ((n - 1) * (n - 2) * (n - 3))
-        value = lead * (g2 + 3) - 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3))
+        lead = F.try_divide(n * (n + 1), (n - 1) * (n - 2) * (n - 3))
+        value = lead * (g2 + 3) - F.try_divide(3 * (n - 1) * (n - 1), (n - 2) * (n - 3))
     else:
-        value = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+        value = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
     return F.when(n >= 4, value)
 
 

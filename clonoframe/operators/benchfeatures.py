@@ -52,9 +52,9 @@ def diversity(clones: DataFrame) -> DataFrame:
         "sample_id",
         F.col("simpson").alias("div_simpson"),
         F.col("shannon").alias("div_shannon"),
-        F.when(many, 1 - F.col("shannon") / F.ln(n)).otherwise(0.0).alias("div_clonality"),
+        F.when(many, 1 - F.try_divide(F.col("shannon"), F.ln(n))).otherwise(0.0).alias("div_clonality"),
         (F.col("d50_index") / n).alias("div_d50"),
-        F.when(many, F.col("shannon") / F.ln(n)).otherwise(0.0).alias("div_pielou"),
+        F.when(many, F.try_divide(F.col("shannon"), F.ln(n))).otherwise(0.0).alias("div_pielou"),
         F.col("n").alias("div_n_clones"),
         F.col("top_clone_frac").alias("conv_top1_freq"),
         F.col("top5_freq").alias("conv_top5_freq"),

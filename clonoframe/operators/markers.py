@@ -117,8 +117,8 @@ def prototype_markers(
         "prototype", "auc", "pval", "u"
     )
     total = F.col("n_case") + F.col("n_control")
-    mean_case = F.col("s_case") / F.col("n_case")
-    mean_control = F.col("s_control") / F.col("n_control")
+    mean_case = F.try_divide(F.col("s_case"), F.col("n_case"))
+    mean_control = F.try_divide(F.col("s_control"), F.col("n_control"))
 
     def safe(mean):
         return F.when(mean == 0, 1e-6).otherwise(mean)

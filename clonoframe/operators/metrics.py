@@ -35,8 +35,8 @@ def roc_points(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.col("score").alias("threshold"),
         "tp",
         "fp",
-        F.when(F.col("p") > 0, F.col("tp") / F.col("p")).alias("tpr"),
-        F.when(F.col("n") > 0, F.col("fp") / F.col("n")).alias("fpr"),
+        F.try_divide(F.col("tp"), F.col("p")).alias("tpr"),
+        F.try_divide(F.col("fp"), F.col("n")).alias("fpr"),
     )
 
 
@@ -61,7 +61,7 @@ def roc_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     fine = (F.col("p") > 0) & (F.col("n") > 0)
     return per.select(
         *by,
-        F.when(fine, F.col("area") / (p * n)).otherwise(0.5).alias("auc"),
+        F.when(fine, F.try_divide(F.col("area"), p * n)).otherwise(0.5).alias("auc"),
         F.when(fine, F.col("best.threshold")).alias("best_threshold"),
         F.when(fine, F.col("best.j")).alias("youden_j"),
         F.when(fine, F.col("best.sens")).alias("sensitivity"),
@@ -75,7 +75,7 @@ def pr_points(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         *by,
         F.col("score").alias("threshold"),
         ratio(F.col("tp"), F.col("p")).alias("recall"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
     )
 
 
@@ -87,9 +87,9 @@ def pr_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     curve = score_curve(scored, by)
     tp, fp, p = (F.col(c).cast("double") for c in ("tp", "fp", "p"))
-    here = tp / (tp + fp)
+    here = ratio(tp, tp + fp)
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
-    before = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0)
+    before = F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0))
     gain = ratio(F.col("pos"), p)
     return curve.groupBy(*by).agg(
         F.sum(gain * here).alias("average_precision"),
@@ -98,7 +98,7 @@ def pr_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b).otherwise(0.0)
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
 def binary_metrics(

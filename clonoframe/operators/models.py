@@ -53,9 +53,9 @@ def prepare(
         raise ValueError("no varying features")
     indexer = StringIndexer(inputCol="class", outputCol="label", stringOrderType="alphabetAsc")
     model = indexer.fit(kept)
-    packed = VectorAssembler(inputCols=used, outputCol="x").transform(model.transform(kept))
+    ready = VectorAssembler(inputCols=used, outputCol="x").transform(model.transform(kept))
     return (
-        packed.select("sample_id", "subject_id", "class", "label", "x"),
+        ready.select("sample_id", "subject_id", "class", "label", "x"),
         list(model.labels),
         used,
     )
@@ -429,7 +429,7 @@ def apply_model(model: PipelineModel, features: DataFrame, columns: Sequence[str
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in present else F.lit(0.0).alias(c)
           for c in columns],
     )
-    packed = VectorAssembler(inputCols=list(columns), outputCol="x").transform(filled)
-    out = model.transform(packed)
+    ready = VectorAssembler(inputCols=list(columns), outputCol="x").transform(filled)
+    out = model.transform(ready)
     score = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
     return out.select("sample_id", "prediction", score.alias("score"))

@@ -68,7 +68,7 @@ def z_scored_long(
 
     def z(c: str):
         s = F.col(f"_stats.{c}.s") + epsilon
-        return F.when(s > 0, (F.col(c) - F.col(f"_stats.{c}.m")) / s).otherwise(0.0).alias(c)
+        return F.coalesce(F.try_divide(F.col(c) - F.col(f"_stats.{c}.m"), s), F.lit(0.0)).alias(c)
 
     scaled = rows.select("sample_id", "group", *[z(c) for c in columns])
     return scaled.unpivot(["sample_id", "group"], list(columns), "feature", "z")

@@ -99,7 +99,7 @@ def cluster_size_summary(sizes: DataFrame) -> DataFrame:
 
 def _row_scaled(counts: DataFrame, total: Column, name: str) -> DataFrame:
     totals = counts.groupBy("sample_id").agg(total.alias("_total"))
-    value = F.when(F.col("_total") > 0, F.col("count") / F.col("_total")).otherwise(0.0)
+    value = F.coalesce(F.try_divide(F.col("count"), F.col("_total")), F.lit(0.0))
     return counts.join(totals, "sample_id").select(
         "sample_id", "prototype", "count", value.alias(name)
     )
@@ -257,8 +257,10 @@ def weight_ranking(weights: DataFrame) -> DataFrame:
         .withColumn("rank", F.row_number().over(spot))
         .withColumn(
             "cumulative_share",
-            F.sum("importance").over(spot.rowsBetween(W.unboundedPreceding, 0))
-            / F.sum("importance").over(W.partitionBy()),
+            F.try_divide(
+                F.sum("importance").over(spot.rowsBetween(W.unboundedPreceding, 0)),
+                F.sum("importance").over(W.partitionBy()),
+            ),
         )
     )
 

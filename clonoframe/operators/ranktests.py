@@ -68,7 +68,7 @@ def rank_statistics(
         "n_in",
         "n_out",
         u.alias("u"),
-        F.when((a > 0) & (b > 0), u / (a * b)).alias("auc"),
+        F.try_divide(u, a * b).alias("auc"),
         "tie_term",
         z_score(u, a, b, F.col("tie_term")).alias("z"),
         *([F.transform("_blocks", lambda s: s["t"]).alias("_blocks")] if pvalue else []),
@@ -82,9 +82,9 @@ def rank_statistics(
 
 def z_score(u: Column, a: Column, b: Column, tie_term: Column) -> Column:
     n = a + b
-    spread = a * b / 12 * ((n + 1) - tie_term / (n * (n - 1)))
+    spread = a * b / 12 * ((n + 1) - F.coalesce(F.try_divide(tie_term, n * (n - 1)), F.lit(0.0)))
     gap = F.greatest(F.lit(0.0), F.abs(u - a * b / 2) - 0.5)
-    return F.when(spread > 0, F.signum(u - a * b / 2) * gap / F.sqrt(spread)).otherwise(0.0)
+    return F.when(spread > 0, F.signum(u - a * b / 2) * F.try_divide(gap, F.sqrt(spread))).otherwise(0.0)
 
 
 def adjust_fdr(tests: DataFrame, p: str = "pval", out: str = "padj", drop_na: bool = False,
@@ -157,7 +157,8 @@ def group_against_rest(
         F.col("_g.outside").alias("_s_out"),
     )
     usable = (F.col("n_in") >= 2) & (F.col("n_out") >= 2)
-    mean_in, mean_out = F.col("_s_in") / F.col("n_in"), F.col("_s_out") / F.col("n_out")
+    mean_in = F.try_divide(F.col("_s_in"), F.col("n_in"))
+    mean_out = F.try_divide(F.col("_s_out"), F.col("n_out"))
     return (
         rank_statistics(hist, ["feature", group])
         .filter(usable)

@@ -48,15 +48,15 @@ def sharing_statistics(clones: DataFrame) -> DataFrame:
     others = F.lit(total) - 1
     foreign = others - mates
     known = F.col("group").isNotNull()
-    intra = F.when(known & (mates > 0), F.col("shared_in") / (n * mates)).otherwise(0.0)
-    inter = F.when(known & (foreign > 0), F.col("shared_out") / (n * foreign)).otherwise(0.0)
+    intra = F.when(known & (mates > 0), F.try_divide(F.col("shared_in"), n * mates)).otherwise(0.0)
+    inter = F.when(known & (foreign > 0), F.try_divide(F.col("shared_out"), n * foreign)).otherwise(0.0)
     return rows.select(
         "sample_id",
         n.cast("long").alias("n_distinct"),
-        F.when(others > 0, F.col("shared") / (n * others)).otherwise(0.0).alias("convergence_idx"),
+        F.when(others > 0, F.try_divide(F.col("shared"), n * others)).otherwise(0.0).alias("convergence_idx"),
         intra.alias("intra_group_convergence"),
         inter.alias("inter_group_convergence"),
-        F.when(inter > 0, intra / inter).alias("convergence_ratio"),
+        F.when(inter > 0, F.try_divide(intra, inter)).alias("convergence_ratio"),
         (F.col("private") / n).alias("private_clone_ratio"),
         F.when(known & (mates > 0), F.col("high") / n).alias("high_share_clone_ratio"),
     )

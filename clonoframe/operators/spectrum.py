@@ -123,8 +123,9 @@ def spectrum_statistics(spectrum: DataFrame, key: str = "sample_id") -> DataFram
     entropy = F.ln(total) - F.try_divide(F.col("s_clnc"), total)
     squares = F.try_divide(F.col("s_cc"), total * total)
     pos = F.col("n_pos")
-    slope = (pos * F.col("s_xy") - F.col("s_x") * F.col("s_y")) / (
-        pos * F.col("s_xx") - F.col("s_x") * F.col("s_x")
+    slope = F.try_divide(
+        pos * F.col("s_xy") - F.col("s_x") * F.col("s_y"),
+        pos * F.col("s_xx") - F.col("s_x") * F.col("s_x"),
     )
     # ascending rank = n + 1 - descending rank
     rank_mass = (pos + 1) * F.col("s_c_pos") - F.col("s_rank_c")
@@ -134,10 +135,10 @@ def spectrum_statistics(spectrum: DataFrame, key: str = "sample_id") -> DataFram
         "reads",
         entropy.alias("shannon"),
         (1 - squares).alias("simpson"),
-        F.when(rows > 1, 1 - entropy / F.ln(rows)).alias("clonality"),
+        F.when(rows > 1, 1 - F.try_divide(entropy, F.ln(rows))).alias("clonality"),
         F.when(pos >= 5, -slope).alias("powerlaw_a"),
         F.when(
-            pos > 0, 2 * rank_mass / (pos * F.col("s_c_pos")) - (pos + 1) / pos
+            pos > 0, F.try_divide(2 * rank_mass, pos * F.col("s_c_pos")) - F.try_divide(pos + 1, pos)
         ).alias("gini"),
         F.try_divide(F.col("top"), total).alias("top_clone_frac"),
         "top5_freq",
@@ -147,10 +148,10 @@ def spectrum_statistics(spectrum: DataFrame, key: str = "sample_id") -> DataFram
         "hec_5pct",
         "hec_sum_freq",
         F.when(
-            total > 1, rows * (F.col("s_cc") - total) / (total * (total - 1))
+            total > 1, F.try_divide(rows * (F.col("s_cc") - total), total * (total - 1))
         ).alias("morisita"),
         F.try_divide(F.col("top"), total).alias("berger_parker"),
-        F.when(pos > 1, entropy / F.ln(pos)).alias("pielou_evenness"),
+        F.when(pos > 1, F.try_divide(entropy, F.ln(pos))).alias("pielou_evenness"),
         (-F.ln(squares)).alias("renyi_q2"),
     )
 
@@ -200,8 +201,8 @@ def frequency_statistics(clones: DataFrame, key: str = "sample_id") -> DataFrame
     given = F.col("_known") > 0
     rows = F.col("n").cast("double")
     replaced = {
-        "clonality": F.when(rows > 1, 1 - F.col("_shannon") / F.ln(rows)),
-        "pielou_evenness": F.when(F.col("_pos") > 1, F.col("_shannon") / F.ln("_pos")),
+        "clonality": F.when(rows > 1, 1 - F.try_divide(F.col("_shannon"), F.ln(rows))),
+        "pielou_evenness": F.when(F.col("_pos") > 1, F.try_divide(F.col("_shannon"), F.ln("_pos"))),
     }
     for name in ("shannon", "simpson", "top_clone_frac", "hec_1pct", "hec_5pct",
                  "hec_sum_freq", "renyi_q2"):
