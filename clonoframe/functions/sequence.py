@@ -7,7 +7,7 @@ of integers and does not depend on evaluation order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonoframe import schema as S
@@ -144,6 +144,15 @@ def kmers(seq: str | Column, k: int) -> Column:
     return F.when(F.length(seq) >= k, parts).otherwise(F.array().cast("array<string>"))
 
 
+def explode_kmers(df: DataFrame, k: int, *keep: str, seq: str = "cdr3_aa", name: str = "kmer"):
+    """One row per k-mer occurrence; generated and cut inside code generation."""
+    starts = F.explode(F.sequence(F.lit(1), F.length(seq) - k + 1)).alias("_at")
+    long_enough = df.filter(F.length(seq) >= k)
+    return long_enough.select(*keep, seq, starts).select(
+        *keep, F.substring(F.col(seq), F.col("_at"), F.lit(k)).alias(name)
+    )
+
+
 def motif_hits(seq: str | Column, motifs: list[str]) -> Column:
     """Number of listed motifs that occur in the sequence."""
     total = F.lit(0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonoframe.functions.sequence import kmers
+from clonoframe.functions.sequence import explode_kmers
 from clonoframe.functions.tails import fisher_p
 from clonoframe.operators import ranktests as R
 from clonoframe.session import cut_lineage
@@ -26,9 +26,8 @@ def statistical_markers(
 
 def kmer_counts(clones: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
     """Occurrences of each k-mer per key; partial counts are merged before the shuffle."""
-    return clones.select(*by, F.explode(kmers("cdr3_aa", k)).alias("kmer")).groupBy(
-        *by, "kmer"
-    ).agg(F.count(F.lit(1)).alias("n"))
+    words = explode_kmers(clones, k, *by)
+    return words.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sequence_markers(

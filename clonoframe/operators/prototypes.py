@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonoframe.functions.sequence import kmers
+from clonoframe.functions.sequence import explode_kmers
 
 PANEL_BYTES = 512 * 1024 * 1024
 
@@ -167,7 +167,7 @@ def kmer_enrichment(
 ) -> DataFrame:
     """k-mer use of two prototype sets over (cdr3_aa, prototype) rows."""
     rows = (
-        sequences.select("prototype", F.explode(kmers("cdr3_aa", k)).alias("motif"))
+        explode_kmers(sequences, k, "prototype", name="motif")
         .groupBy("motif")
         .agg(
             F.sum(case_set.cast("long")).alias("case_count"),

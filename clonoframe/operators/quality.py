@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clonoframe import schema as S
 from clonoframe.functions.sequence import col
+from clonoframe.session import partitions
 
 BUCKET_ROWS = 50_000
 
@@ -121,7 +122,12 @@ def rarefy(clones: DataFrame, target_reads: int = 1000, seed: int = 0) -> DataFr
         "_bucket",
         F.pmod(F.xxhash64(*fields), F.greatest(F.lit(1), F.ceil(F.col("_rows") / BUCKET_ROWS))),
     )
-    totals = spread.groupBy("sample_id", "_bucket").agg(F.sum("count").alias("_total"))
+    several = F.col("_rows") > BUCKET_ROWS
+    totals = (
+        spread.filter(several)
+        .groupBy("sample_id", "_bucket")
+        .agg(F.sum("count").alias("_total"))
+    )
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_bucket")
@@ -136,7 +142,13 @@ def rarefy(clones: DataFrame, target_reads: int = 1000, seed: int = 0) -> DataFr
     quotas = totals.groupBy("sample_id").applyInPandas(
         split, "sample_id string, _bucket long, _quota long"
     )
-    plan = spread.drop("_reads", "_rows").join(quotas, ["sample_id", "_bucket"])
+    whole = spread.filter(~several).withColumn("_quota", F.lit(target_reads).cast("long"))
+    split_up = spread.filter(several).join(quotas, ["sample_id", "_bucket"])
+    plan = (
+        whole.unionByName(split_up)
+        .drop("_reads", "_rows")
+        .repartition(partitions(clones.sparkSession), "sample_id", "_bucket")
+    )
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(fields).reset_index(drop=True)

@@ -21,7 +21,7 @@ from clonoframe.operators.features import drop_constant, fill_missing
 from clonoframe.operators.markers import kmer_counts
 from clonoframe.session import cut_lineage, packed
 
-ROWS_PER_TASK = 2_000
+ROWS_PER_TASK = 250
 
 
 def concept_embedding(features: DataFrame, columns: Sequence[str], ndim: int = 10):
@@ -65,27 +65,36 @@ class SparseTable:
     """One row per sample: ``keys`` (vocabulary entries) and ``values``; others are zero."""
 
     def __init__(self, rows: DataFrame, vocabulary: Sequence, row_share: bool = False):
-        self.rows = packed(rows, ROWS_PER_TASK).persist()
         self.vocabulary = list(vocabulary)
-        self.row_share = row_share
+        self.rows = packed(self._encoded(rows, row_share), ROWS_PER_TASK).persist()
         self.n, self.mean, self.sd = 0, None, None
 
-    def _reader(self):
+    def _encoded(self, rows: DataFrame, share: bool) -> DataFrame:
+        """Keys as positions in the vocabulary; values optionally as shares of the row."""
         index = {key: i for i, key in enumerate(self.vocabulary)}
-        share = self.row_share
 
+        def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                at = [np.array([index[k] for k in keys], dtype=np.int32) for keys in pdf["keys"]]
+                value = [np.asarray(v, dtype=float) for v in pdf["values"]]
+                if share:
+                    value = [v / (v.sum() or 1.0) for v in value]
+                yield pdf.assign(keys=at, values=value)
+
+        others = [f for f in rows.schema.fields if f.name not in ("keys", "values")]
+        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+        ordered = rows.select(*[f.name for f in others], "keys", "values")
+        return ordered.mapInPandas(encode, f"{names}, keys array<int>, values array<double>")
+
+    @staticmethod
+    def _reader():
         def flat(pdf: pd.DataFrame):
             sizes = pdf["keys"].map(len).to_numpy()
             row = np.repeat(np.arange(len(pdf)), sizes)
             if not len(row):
                 return row, row.astype(int), row.astype(float)
-            keys = np.concatenate(pdf["keys"].to_numpy())
-            at = np.fromiter((index[k] for k in keys), dtype=np.int64, count=len(keys))
-            value = np.concatenate(pdf["values"].to_numpy()).astype(float)
-            if share:
-                total = np.bincount(row, value, len(pdf))
-                value = value / np.where(total[row] == 0, 1, total[row])
-            return row, at, value
+            at = np.concatenate(pdf["keys"].to_numpy()).astype(np.int64)
+            return row, at, np.concatenate(pdf["values"].to_numpy()).astype(float)
 
         return flat
 

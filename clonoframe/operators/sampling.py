@@ -64,26 +64,25 @@ def pseudo_samples(
 ) -> DataFrame:
     """Draw ``per_sample`` pool rows per group, ``n_samples`` times.
 
-    Rows carry ``group``. A row is only multiplied for the draws whose threshold it meets,
-    so the expansion is about n_samples x per_sample rows per group, not a copy of the pool
-    per draw.
+    Rows carry ``group``. Every copy of a pool row gets its own number per draw and is
+    dropped inside the same generated loop unless it meets the threshold, so about
+    n_samples x per_sample rows per group are shuffled.
     """
     # copies of a pool row are separate draws: number them without gathering the pool
     counted = pool.groupBy("group", *identity).agg(F.count(F.lit(1)).alias("_copies"))
     sizes = counted.groupBy("group").agg(F.sum("_copies").alias("_rows"))
     base = counted.join(sizes, "group").withColumn(
         "_share", keep_share(per_sample, F.col("_rows"))
-    )
-    # a copy beyond the largest useful number can never be drawn, so the sequence stays short
+    ).withColumn("_id", F.xxhash64(*identity))
+    # copies are numbered in blocks, so one row never holds a long sequence
     draws = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     blocks = draws.withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr("(_copies - 1) div 4096"))))
     last = F.least(F.col("_copies") - 1, F.col("_block") * 4096 + 4095)
-    chosen = F.filter(
-        F.sequence(F.col("_block") * 4096, last),
-        lambda i: unit_hash(*identity, F.col("draw"), i, seed=seed) < F.col("_share"),
+    copies = F.explode(F.sequence(F.col("_block") * 4096, last)).alias("_copy")
+    rows = blocks.select("group", "draw", *identity, "_id", "_share", copies)
+    ordered = rows.withColumn("_u", unit_hash("_id", "draw", "_copy", seed=seed)).filter(
+        F.col("_u") < F.col("_share")
     )
-    rows = blocks.select("group", "draw", *identity, F.explode(chosen).alias("_copy"))
-    ordered = rows.withColumn("_u", unit_hash(*identity, "draw", "_copy", seed=seed))
     spot = W.partitionBy("group", "draw").orderBy("_u", *identity, "_copy")
     kept = ordered.withColumn("_rank", F.row_number().over(spot)).filter(
         F.col("_rank") <= per_sample

@@ -550,17 +550,24 @@ QUERIES["rank_test"] = sql(
 
 
 def fisher(source: str, a: str, b: str, c: str, d: str, key: str) -> str:
-    """CTEs giving (key, p): every table of the margins, masses by log-gamma."""
+    """CTEs giving (key, p) over every table with the same margins.
+
+    Log masses are running sums of neighbour ratios and are normalised by their total, which
+    keeps full precision; log-gamma of large margins loses the seventh digit.
+    """
     return f"""
 margins as (
-  select {key}, {a} as a, {a} + {b} as r1, {c} + {d} as r2, {a} + {c} as c1, {a} + {b} + {c} + {d} as n from {source}),
+  select {key}, cast({a} as bigint) as a, cast({a} + {b} as double) as r1, cast({c} + {d} as double) as r2,
+         cast({a} + {c} as double) as c1 from {source}),
+supports as (
+  select *, unnest(range(cast(greatest(0, c1 - r2) as bigint), cast(least(r1, c1) + 1 as bigint))) as x from margins),
 masses as (
-  select {key}, a, x, lgamma(r1 + 1) - lgamma(x + 1) - lgamma(r1 - x + 1) + lgamma(r2 + 1) - lgamma(c1 - x + 1)
-       - lgamma(r2 - c1 + x + 1) - lgamma(n + 1) + lgamma(c1 + 1) + lgamma(n - c1 + 1) as lp
-  from (select *, unnest(range(cast(greatest(0, c1 - r2) as bigint), cast(least(r1, c1) + 1 as bigint))) as x from margins)),
-seen as (select {key}, lp as obs from masses where x = a),
+  select {key}, a, x, sum(case when x = greatest(0, c1 - r2) then 0.0::double
+       else ln((r1 - x + 1) * (c1 - x + 1) / (x * (r2 - c1 + x))) end) over (partition by {key} order by x) as lp
+  from supports),
+seen as (select {key}, max(case when x = a then lp end) as obs, max(lp) as peak from masses group by {key}),
 fisher as (
-  select {key}, least(1.0, sum(case when lp <= obs + 1e-7 then exp(lp) else 0 end)) as pval
+  select {key}, least(1.0, sum(case when lp <= obs + 1e-7 then exp(lp - peak) else 0 end) / sum(exp(lp - peak))) as pval
   from masses join seen using ({key}) group by {key})"""
 
 

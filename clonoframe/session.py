@@ -16,6 +16,8 @@ def session(app: str = "clonoframe", cores: str | None = None, partitions: int |
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # one shuffle partition per core already: merging them would idle cores
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -43,6 +45,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core for a table too small to be split by its files.
+
+    A table with less than one input split per core is redistributed by key; anything
+    larger keeps its scan partitions and pays no shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * split else df
+
+
+def partitions(spark: SparkSession) -> int:
+    """Shuffle partitions the session is configured for."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def packed(df: DataFrame, rows_per_task: int) -> DataFrame:
     """Checkpoint, then use as many partitions as the rows need.
 

@@ -11,6 +11,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clonoframe.session import spread
+
 HEX_TO_RESIDUE = ("0123456789abcdef", "ASSLGQDTEYNRVPKI")
 
 
@@ -58,7 +60,7 @@ def clones(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("s_nationkey") % 2 == 0, "control").otherwise("case").alias("group"),
         F.concat(F.lit("g"), (F.col("s_nationkey") % 4).cast("string")).alias("group4"),
     )
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     return (
         lines.join(receptors(spark, sf_dir), lines.l_partkey == F.col("p_partkey"))
         .join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
