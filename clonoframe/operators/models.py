@@ -77,10 +77,10 @@ def estimator(
     """A classifier by name; linear ones standardise their input first."""
     common = {"featuresCol": "x", "labelCol": "label"}
     if method == "logistic":
-        clf = LogisticRegression(**common, maxIter=200)
+        clf = LogisticRegression(**common, maxIter=200, tol=1e-4)
     elif method in ("lasso", "ridge", "elasticnet"):
         mix = {"lasso": 1.0, "ridge": 0.0, "elasticnet": alpha}[method]
-        clf = LogisticRegression(**common, regParam=reg, elasticNetParam=mix, maxIter=200)
+        clf = LogisticRegression(**common, regParam=reg, elasticNetParam=mix, maxIter=200, tol=1e-4)
     elif method == "tree":
         clf = DecisionTreeClassifier(**common, seed=seed)
     elif method == "rf":
@@ -92,7 +92,7 @@ def estimator(
         )
     elif method == "svm":
         clf = LinearSVC(**common, regParam=1.0 / (svm_cost * max(1, n_rows)), maxIter=200,
-                        standardization=False)
+                        tol=1e-4, standardization=False)
     else:
         raise ValueError(f"unknown classifier '{method}'")
     if n_classes > 2 and method in ("logistic", "boosting", "svm"):
@@ -309,7 +309,7 @@ def tuned_regularized(
 ) -> dict:
     """Penalty chosen by held-out score; accuracy reported on held-out folds."""
     mix = {"lasso": 1.0, "ridge": 0.0, "elasticnet": alpha}[method]
-    clf = LogisticRegression(featuresCol="z", labelCol="label", elasticNetParam=mix, maxIter=200)
+    clf = LogisticRegression(featuresCol="z", labelCol="label", elasticNetParam=mix, maxIter=200, tol=1e-4)
     scale = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True)
     grid = ParamGridBuilder().addGrid(clf.regParam, list(lambdas)).build()
     judge = (

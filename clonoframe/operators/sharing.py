@@ -21,9 +21,10 @@ def with_presence(owned: DataFrame) -> DataFrame:
 
     A clonotype has at most one row per sample here, which bounds the window.
     """
+    # the wider key first: its partitioning then serves the second window as well
     return owned.withColumn(
-        "in_group", F.count(F.lit(1)).over(W.partitionBy("cdr3_aa", "group"))
-    ).withColumn("presence", F.count(F.lit(1)).over(W.partitionBy("cdr3_aa")))
+        "presence", F.count(F.lit(1)).over(W.partitionBy("cdr3_aa"))
+    ).withColumn("in_group", F.count(F.lit(1)).over(W.partitionBy("cdr3_aa", "group")))
 
 
 def sharing_statistics(clones: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,31 +54,23 @@ def labelled_vectors(counts: DataFrame, labels: DataFrame, value: str = "l2") ->
 
 
 def model_rows(vectors: DataFrame, ids: Sequence[int]) -> DataFrame:
-    """Sparse ML vectors for the classifiers, entries in panel order."""
+    """ML vectors for the classifiers, entries in panel order, filled in Arrow batches."""
     place = {int(p): i for i, p in enumerate(ids)}
-    table = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
-    dense = F.aggregate(
-        F.arrays_zip("keys", "values"),
-        F.array_repeat(F.lit(0.0), len(place)),
-        lambda acc, cell: F.transform(
-            acc, lambda x, i: F.when(i == table[cell["keys"]], cell["values"]).otherwise(x)
-        ),
-    )
-    if len(place) <= 256:
-        return vectors.withColumn("x", array_to_vector(dense)).withColumn(
-            "class", F.col("group")
-        ).withColumn("subject_id", F.col("sample_id"))
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    size = len(place)
-
-    @F.udf(VectorUDT())
-    def sparse(keys, values):
-        return Vectors.sparse(size, sorted((place[k], v) for k, v in zip(keys, values)))
 
-    return vectors.withColumn("x", sparse("keys", "values")).withColumn(
-        "class", F.col("group")
-    ).withColumn("subject_id", F.col("sample_id"))
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            dense = np.zeros((len(pdf), len(place)))
+            for r, (keys, values) in enumerate(zip(pdf["keys"], pdf["values"])):
+                dense[r, [place[k] for k in keys]] = values
+            yield pdf.drop(columns=["keys", "values"]).assign(dense=list(dense))
+
+    kept = [f for f in vectors.schema.fields if f.name not in ("keys", "values")]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    ordered = vectors.select(*[f.name for f in kept], "keys", "values")
+    rows = ordered.mapInPandas(fill, f"{shape}, dense array<double>")
+    return rows.withColumns(
+        {"x": array_to_vector("dense"), "class": F.col("group"), "subject_id": F.col("sample_id")}
+    ).drop("dense")
 
 
 def classify_samples(

@@ -48,12 +48,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core for a table too small to be split by its files.
 
-    A table with less than one input split per core is redistributed by key; anything
-    larger keeps its scan partitions and pays no shuffle.
+    Scans split their input down to the open-cost size to occupy all cores; only a table
+    below that size per core is redistributed by key. Anything larger pays no shuffle.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    split = int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, *keys) if size < cores * split else df
 
