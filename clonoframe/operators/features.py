@@ -192,8 +192,12 @@ def moment_rows(compat: bool = False) -> RowModule:
 def shm_rows(any_heavy: Column) -> RowModule:
     return RowModule(
         {"_len": F.length("cdr3_aa")},
-        {"_shm_len": F.avg("_len"), "_shm_rows": F.count(F.lit(1))},
-        {"shm_mean_len": F.when(any_heavy, F.col("_shm_len"))},
+        {
+            "_shm_len": F.avg("_len"),
+            "_shm_rows": F.count(F.lit(1)),
+            "_any_heavy": F.max(F.lit(any_heavy)),
+        },
+        {"shm_mean_len": F.when(F.col("_any_heavy"), F.col("_shm_len"))},
     )
 
 
@@ -207,7 +211,7 @@ def aggregate_rows(clones: DataFrame, modules: Sequence[RowModule], key="sample_
     rows = clones.select("*", *[c.alias(name) for name, c in derived.items()])
     out = rows.groupBy(key).agg(*[c.alias(name) for name, c in aggregates.items()])
     plain = [name for name in aggregates if not name.startswith("_")]
-    hidden = [name for name in aggregates if name in ("_shm_rows",)]
+    hidden = [name for name in aggregates if name in ("_shm_rows", "_any_heavy")]
     return out.select(key, *plain, *hidden, *[c.alias(name) for name, c in final.items()])
 
 
@@ -292,10 +296,13 @@ def pairing_statistics(clones: DataFrame) -> DataFrame:
         )
     ).scalar()
     ids = clones.groupBy("sample_id", "pair_id").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    # the flag enters the aggregation once instead of every output column
     m = F.when(F.col("pair_id").isNotNull(), F.col("m"))
     per = ids.groupBy("sample_id").agg(
-        F.count(m).alias("_n"), F.sum(m).alias("_w"), F.sum(m * F.ln(m)).alias("_wlnw")
+        F.count(m).alias("_n"), F.sum(m).alias("_w"), F.sum(m * F.ln(m)).alias("_wlnw"),
+        F.max(F.lit(both)).alias("_both"),
     )
+    both = F.col("_both")
     return per.select(
         "sample_id",
         F.when(both, F.ln("_w") - F.try_divide(F.col("_wlnw"), F.col("_w"))).alias("pairing_diversity"),
@@ -379,7 +386,7 @@ def compute_features(
         base = base.join(frame, "sample_id", "left")
     if "shm" in chosen:
         base = base.withColumn(
-            "shm_diversity", F.when(any_heavy, F.col("n_distinct") / F.col("_shm_rows"))
+            "shm_diversity", F.when(F.col("_any_heavy"), F.col("n_distinct") / F.col("_shm_rows"))
         )
     if "convergence" in chosen:
         base = with_collapse(base, healthy_label)

@@ -91,7 +91,7 @@ def estimator(
             featureSubsetStrategy="0.8", seed=seed,
         )
     elif method == "svm":
-        clf = LinearSVC(**common, regParam=1.0 / (svm_cost * max(1, n_rows)), maxIter=200,
+        clf = LinearSVC(**common, regParam=1.0 / (svm_cost * max(1, n_rows)), maxIter=100,
                         tol=1e-4, standardization=False)
     else:
         raise ValueError(f"unknown classifier '{method}'")

@@ -38,6 +38,7 @@ def sharing_statistics(clones: DataFrame) -> DataFrame:
     rows = owned.join(sizes, "group", "left").groupBy("sample_id").agg(
         F.max("group").alias("group"),
         F.max(mates).alias("mates"),
+        F.max(F.lit(total)).alias("samples"),
         F.count(F.lit(1)).cast("double").alias("n"),
         F.sum(both - 1).alias("shared"),
         F.sum(same - 1).alias("shared_in"),
@@ -46,7 +47,7 @@ def sharing_statistics(clones: DataFrame) -> DataFrame:
         F.sum((both > mates * 0.5).cast("long")).alias("high"),
     )
     n, mates = F.col("n"), F.col("mates")
-    others = F.lit(total) - 1
+    others = F.col("samples") - 1
     foreign = others - mates
     known = F.col("group").isNotNull()
     intra = F.when(known & (mates > 0), F.try_divide(F.col("shared_in"), n * mates)).otherwise(0.0)
