@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clonoframe.llm import quality_rules
+from clonoframe.llm import mixing, quality_rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,6 +45,52 @@ select *, not {passes(quality_rules.BASE)} as base_failed,
 from f"""
 
 
+def _op7() -> str:
+    weights = ", ".join(map(str, mixing.WEIGHTS))
+    return rf"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size
+  from documents
+), s as (
+  select source, sum(size)::bigint as source_size from sized group by source
+), w as (
+  select *, [{weights}][((row_number() over (order by source nulls last) - 1)
+            % {len(mixing.WEIGHTS)} + 1)::int] as weight from s
+), o as (
+  select *, sum({mixing.CAP} * source_size) over k as capped, sum(weight) over k as used
+  from w window k as (order by {mixing.CAP} * source_size / weight, source nulls last)
+), t as (select sum(source_size) as total, sum(weight) as weights from w
+), levels as (
+  select total as rest, weights from t union all
+  select total - capped, weights - used from o, t where weights > used
+), level as (select arg_max(struct_pack(r := rest, k := weights), rest / weights) as l from levels
+), goal as (
+  select source, source_size,
+         case when weight::hugeint * l.r > {mixing.CAP}::hugeint * source_size * l.k
+              then ({mixing.CAP} * source_size)::double
+              else weight::double * l.r::double / l.k::double end as target
+  from w, level
+), plan as (
+  select *, case when source_size > 0 then target / source_size else 0 end as ratio from goal
+), d as (
+  select doc_id, size, sized.source, source_size, target, floor(ratio)::bigint as whole,
+         ratio - floor(ratio) as p, target - floor(ratio) * source_size as missing,
+         (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint
+          + 0.5::double) / 4503599627370496::double as u
+  from sized join plan on sized.source is not distinct from plan.source and true
+), r as (
+  select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as q from d
+), c as (
+  select *, sum(size) over (partition by source order by q / (1 + q) nulls last, doc_id
+                            rows unbounded preceding) - size as sofar from r
+)
+select doc_id, size, source_size, target,
+       (size * (whole + case when q is not null and sofar + size / 2 <= missing then 1 else 0 end))::bigint
+         as taken
+from c"""
+
+
 QUERIES: dict[str, str] = {
+    "op7_mixing": _op7(),
     "op8_quality_rules": _op8(),
 }

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoframe.llm import near_dedup, quality_rules
+from clonoframe.llm import mixing, near_dedup, quality_gam, quality_rules, unigram_tokens
+from clonoframe.llm.hashing import chunks
 from clonoframe.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def fold(column: str, parts: int, which: int) -> Column:
+    """Whether crc32 of the id, written as text, leaves ``which``; a null id never does."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == which, F.lit(False))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~fold("doc_id", 4, 2))
+    model = quality_gam.train(docs, labels)
+    scored = docs.select(
+        "doc_id", fold("doc_id", 4, 2).alias("held_out"), quality_gam.scorer(model)("text").alias("score")
+    )
+    return scored.withColumn("predicted", F.when(F.col("score") >= quality_gam.KEEP, 1).otherwise(0))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixture(docs).drop("source")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = quality_rules.ledger(docs)
@@ -28,7 +53,38 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = unigram_tokens.vocabulary(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            doc_ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+            for a, b in chunks(texts):
+                ids = unigram_tokens.encode(texts[a:b], vocab.value)
+                back = unigram_tokens.decode(ids, vocab.value)
+                yield pd.DataFrame(
+                    {
+                        "doc_id": doc_ids[a:b],
+                        "n_pieces": [len(i) for i in ids],
+                        "n_byte_pieces": [int(np.isin(i, vocab.value.bytes_id).sum()) for i in ids],
+                        "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in ids],
+                        "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back],
+                        "same": [t == (o or "") for t, o in zip(back, texts[a:b], strict=True)],
+                    }
+                )
+
+    return docs.mapInPandas(
+        run,
+        "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string,"
+        " same boolean",
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_unigram_pieces": op10_unigram_pieces,
 }
