@@ -58,7 +58,7 @@ class Trie:
         base, check = [0] * size, [-1] * size
         value = [-1] * size
         check[0] = 0
-        free = top = 1
+        free = top = 257  # lower slots would need a base below 1
         stack = [(0, 0, len(order), 0)]
         while stack:
             node, low, high, depth = stack.pop()
