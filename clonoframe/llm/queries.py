@@ -11,9 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoframe.llm import mixing, near_dedup, quality_gam, quality_rules, unigram_tokens
+from clonoframe.llm import (
+    mixing,
+    near_dedup,
+    quality_gam,
+    quality_rules,
+    token_huffman,
+    unigram_tokens,
+)
 from clonoframe.llm.hashing import chunks
-from clonoframe.llm.shared import table
+from clonoframe.llm.shared import freed_id, held_id, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,16 +30,34 @@ def fold(column: str, parts: int, which: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == which, F.lit(False))
 
 
+def labels_to_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels a quality model may see."""
+    return table(spark, sf_dir, "labels").where(~fold("doc_id", 4, 2))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(~fold("doc_id", 4, 2))
-    model = quality_gam.train(docs, labels)
+    model = quality_gam.train(docs, labels_to_learn(spark, sf_dir))
     scored = docs.select(
         "doc_id", fold("doc_id", 4, 2).alias("held_out"), quality_gam.scorer(model)("text").alias("score")
     )
     return scored.withColumn("predicted", F.when(F.col("score") >= quality_gam.KEEP, 1).otherwise(0))
 
 
+def _crc32(ids: pd.Series) -> pd.Series:
+    return ids.map(zlib.crc32).astype("int64")
+
+
+def op6_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shared_folder(spark)
+    token_huffman.write_files(docs, path, token_huffman.tokenizer_file(), end_id=2)
+    crc = F.pandas_udf(_crc32, "long")
+    return token_huffman.read_files(spark, path).select(
+        "doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32")
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mixture(docs).drop("source")
@@ -54,7 +79,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select(held_id().alias("doc_id"), "text")
     vocab = unigram_tokens.vocabulary(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,11 +103,12 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         run,
         "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string,"
         " same boolean",
-    )
+    ).withColumn("doc_id", freed_id())
 
 
 QUERIES: dict[str, Query] = {
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_token_huffman": op6_token_huffman,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,

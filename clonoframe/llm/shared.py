@@ -33,10 +33,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
 
+#: Lets Spark drop a finished write's shuffle files at once, instead of at some later collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, folder: str) -> None:
+    """Write Parquet, then free the shuffle files that led to it."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there, lost executors lose nothing."""
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    write(df, folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -67,3 +82,35 @@ def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
         .withColumn("position", F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1))
         .drop("_id", "_part", "_start")
     )
+
+
+def id_ranges(df: DataFrame, parts: int, column: str = "doc_id") -> Column:
+    """Number (0 to parts - 1) of the id range a row belongs to, in ascending order of ids.
+
+    The bounds are approximate quantiles of the ids alone (parts - 1 numbers), so no wide row is
+    read for them; a null id belongs to the first range.
+    """
+    marks = [(i + 1) / parts for i in range(parts - 1)]
+    found = df.select(F.percentile_approx(column, marks, 10_000).alias("q")).first()["q"] if marks else None
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return F.lit(0)
+    edges = F.array(*[F.lit(b) for b in bounds])
+    below = F.filter(edges, lambda e: e < F.col(column))
+    return F.when(F.col(column).isNull(), 0).otherwise(F.size(below))
+
+
+#: Stands for a null id inside tasks, where a null would turn a column of longs into doubles.
+NO_ID = -(1 << 63)
+
+
+def held_id(column: Column | str = "doc_id") -> Column:
+    """The id as a long without nulls; it sorts as the null did, before all others."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(column.cast("long"), F.lit(NO_ID))
+
+
+def freed_id(column: Column | str = "doc_id") -> Column:
+    """The id that ``held_id`` held."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.nullif(column, F.lit(NO_ID))
