@@ -16,6 +16,7 @@ from clonoframe.llm import (
     near_dedup,
     quality_gam,
     quality_rules,
+    quartile_digest,
     token_huffman,
     unigram_tokens,
 )
@@ -30,6 +31,32 @@ def fold(column: str, parts: int, which: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == which, F.lit(False))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    columns = (
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+        "near_next",
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def row(doc_id: int, text: str, own: str, following: str, beside: str) -> tuple:
+            changed = quartile_digest.edited(text, following)
+            print_ = quartile_digest.digest(changed)
+            sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+            near = quartile_digest.likeness
+            return doc_id, len(text), sha, own, print_, near(own, print_), near(own, beside)
+
+        rows = (row(*r) for r in quartile_digest.with_next(batches))
+        for part in quartile_digest.pieces(rows, 1000):
+            yield pd.DataFrame(part, columns=list(columns))
+
+    return quartile_digest.neighbours(docs).mapInPandas(
+        run,
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string,"
+        " edited_fingerprint string, near_edited double, near_next double",
+    ).withColumn("doc_id", freed_id())
+
+
 def labels_to_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels a quality model may see."""
     return table(spark, sf_dir, "labels").where(~fold("doc_id", 4, 2))
@@ -107,6 +134,7 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_fingerprints": op3_fingerprints,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_huffman": op6_token_huffman,
     "op7_mixing": op7_mixing,
