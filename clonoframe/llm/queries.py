@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonoframe.llm import (
+    language_bayes,
     mixing,
     near_dedup,
     quality_gam,
@@ -57,6 +58,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("doc_id", freed_id())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 5, 0)
+    model = language_bayes.train(docs.where(~held_out))
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return language_bayes.identified(rows, model).drop("text")
+
+
 def labels_to_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels a quality model may see."""
     return table(spark, sf_dir, "labels").where(~fold("doc_id", 4, 2))
@@ -135,6 +144,7 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
+    "op4_language_id": op4_language_id,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_huffman": op6_token_huffman,
     "op7_mixing": op7_mixing,
