@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from clonoframe.llm import mixing, quality_rules
+from clonoframe.llm import chat_windows, license_scan, mixing, quality_rules
+from clonoframe.llm.queries import PROBE
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,6 +46,109 @@ select *, not {passes(quality_rules.BASE)} as base_failed,
 from f"""
 
 
+def _op1() -> str:
+    c = chat_windows
+
+    def escaped(x: str) -> str:
+        return rf"regexp_replace({x}, '([<\[])(\\*)({c.TAILS})', '\1\2\\\3', 'g')"
+
+    frame = len(c.TURN) + 1 + len(c.END)
+    return rf"""
+with recursive raw as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{PROBE}' union all select -7, 1, 'assistant', '{PROBE}'
+), t as (
+  select *, row_number() over w - 1 as i,
+         len(regexp_extract_all({escaped("text")}, '{c.TOKEN}')) + {c.OVERHEAD} as cost,
+         {frame} + length(replace({escaped("role")}, chr(10), '{c.LINE}'))
+           + length({escaped("text")}) as chars
+  from raw window w as (partition by conv_id order by turn nulls first, role, text)
+), p as (
+  select *, sum(cost) over (partition by conv_id order by i) as upto,
+         first(role = 'system') over (partition by conv_id order by i) as sys,
+         first(cost) over (partition by conv_id order by i) as cost0,
+         first(chars) over (partition by conv_id order by i) as chars0
+  from t
+), walk as (
+  select conv_id, i, 0::bigint as beg, 0::hugeint as base from p where i = 0
+  union all
+  select p.conv_id, p.i, case when n.new then p.i else walk.beg end,
+         case when n.new then p.upto - p.cost else walk.base end
+  from walk join p on p.conv_id = walk.conv_id and p.i = walk.i + 1,
+  lateral (select p.upto - walk.base > case when walk.beg = 0 then {c.BUDGET}
+      else {c.BUDGET - c.HISTORY} - case when p.sys then p.cost0 else 0 end end as new) as n
+), span as (
+  select conv_id, beg, sum(chars) as chars
+  from walk join p using (conv_id, i) group by conv_id, beg
+), repeated as (
+  select s.conv_id, s.beg, sum(h.chars) as chars
+  from span as s
+  join p as l on l.conv_id = s.conv_id and l.i = s.beg - 1
+  join p as h on h.conv_id = s.conv_id and h.i < s.beg and h.i >= s.beg - {c.HISTORY_TURNS}
+    and h.i >= case when h.sys then 1 else 0 end and l.upto - h.upto + h.cost <= {c.HISTORY}
+  group by s.conv_id, s.beg
+), size as (
+  select span.conv_id, count(*) as n_windows,
+         sum(span.chars + coalesce(repeated.chars, 0)
+             + case when span.beg > 0 and p.sys then p.chars0 else 0 end)::bigint as formatted_chars
+  from span left join repeated using (conv_id, beg) join p on p.conv_id = span.conv_id and p.i = 0
+  group by span.conv_id
+), said as (
+  select conv_id, count(*) as n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+         coalesce(string_agg(case when role = 'assistant' then text end, '' order by i), '') as loss
+  from t group by conv_id
+)
+select conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
+       formatted_chars, n_windows
+from said join size using (conv_id)"""
+
+
+def _op2() -> str:
+    rows = ", ".join(
+        f"('{name}', {license_scan.bigrams(body)!r})"
+        for name, body in sorted(set(license_scan.TEMPLATES))
+    )
+    least = license_scan.LEAST
+    return rf"""
+with d as (
+  select doc_id, row_number() over () as rid,
+         regexp_replace(lower(coalesce(text, '')), '{license_scan._NOT_WORD}', ' ', 'g') as t
+  from documents
+), parts as (
+  select rid, unnest(list_distinct(list_concat(string_split(t, chr(10)),
+    list_transform(string_split_regex(t, '
+ ?
+[ 
+]*'), lambda b: replace(b, chr(10), ' '))))) as u
+  from d
+), words as (
+  select rid, row_number() over () as uid, list_filter(string_split(u, ' '), lambda w: w <> '') as w from parts
+), pairs as (
+  select rid, uid, i, w[i] || ' ' || w[i + 1] as g
+  from (select rid, uid, w, unnest(range(1, len(w))) as i from words)
+), bags as (
+  select rid, uid, list(g || ' ' || k) as bag
+  from (select *, row_number() over (partition by uid, g order by i) - 1 as k from pairs)
+  group by rid, uid
+), template(license, grams) as (values {rows}
+), scored as (
+  select rid, uid, license, 2 * len(list_intersect(bag, grams)) / (len(bag) + len(grams)) as dice
+  from bags, template
+  where len(grams) >= len(bag) * {least / (2 - least)!r} and len(grams) * {least / (2 - least)!r} <= len(bag)
+), hits as (
+  select rid, uid, arg_max(license, (dice, -rank)) as license, max(dice) as dice
+  from (select *, rank() over (partition by uid order by license) as rank from scored where dice >= {least})
+  group by rid, uid
+), by_doc as (
+  select rid, count(*) as n_hits, string_agg(distinct license, ',' order by license) as licenses,
+         round(max(dice), 6) as best_dice
+  from hits group by rid
+)
+select doc_id, coalesce(n_hits, 0) as n_hits, coalesce(licenses, '') as licenses, best_dice
+from d left join by_doc using (rid)"""
+
+
 def _op7() -> str:
     weights = ", ".join(map(str, mixing.WEIGHTS))
     return rf"""
@@ -91,6 +195,8 @@ from c"""
 
 
 QUERIES: dict[str, str] = {
+    "op1_chat_formatting": _op1(),
+    "op2_license_scan": _op2(),
     "op7_mixing": _op7(),
     "op8_quality_rules": _op8(),
 }

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonoframe.llm import (
+    chat_windows,
     language_bayes,
+    license_scan,
     mixing,
     near_dedup,
     quality_gam,
@@ -32,6 +34,46 @@ def fold(column: str, parts: int, which: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == which, F.lit(False))
 
 
+#: A conversation made of control strings, added to those of the table.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
+    )
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long"), "id", F.expr("if(id = 0, 'user', 'assistant')"), F.lit(PROBE)
+    )
+    made = chat_windows.windows(turns.unionAll(probe))
+    turn = chat_windows.parsed(F.col("formatted"), F.col("n_context"))
+    read = made.select(
+        "conv_id", "window", turn.alias("turns"),
+        chat_windows.learnt(F.col("formatted"), F.col("spans")).alias("loss"),
+        F.length("formatted").alias("chars"),
+    ).select(
+        "conv_id", "window", "loss", "chars", F.size("turns").alias("n"),
+        F.array_join(
+            F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
+        ).alias("said"),
+    )
+    whole = read.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("window", "said", "loss"))).alias("w"),
+        F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
+        F.count("*").alias("n_windows"),
+    )
+    loss = F.array_join("w.loss", "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(F.array_join("w.said", ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars", "n_windows",
+    )
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     columns = (
@@ -143,6 +185,8 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_license_scan": op2_license_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
     "op5_quality_classifier": op5_quality_classifier,
