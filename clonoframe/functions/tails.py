@@ -134,13 +134,13 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
             total, x = total + mass, x + step
         return total
 
+    if log_mass(mode) <= bar:  # the observed cell shares the mode: no table is likelier
+        return 1.0
     if a >= mode:
         left, right = low - 1, mode
         while right - left > 1:
             mid = (left + right) // 2
             left, right = (mid, right) if log_mass(mid) <= bar else (left, mid)
-        if right == mode and log_mass(mode) <= bar:
-            return 1.0
         return min(1.0, tail(a, 1) + tail(left, -1))
     left, right = mode, high + 1
     while right - left > 1:
