@@ -136,7 +136,7 @@ def expansion_gradient(rows: DataFrame, count: str = "count", case="case", contr
             "control_mean"
         ),
     )
-    return means.join(R.rank_statistics(hist, ["test"], bounded=True, pvalue=pvalue), "test").drop(
+    return means.join(R.rank_statistics(hist, ["test"], pvalue=pvalue), "test").drop(
         "test"
     )
 

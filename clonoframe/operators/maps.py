@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clonoframe.functions.sequence import domain_classes, kmers, map_columns
-from clonoframe.operators.sampling import sample_per_group
-
-FIT_ROWS = 200_000
 
 
 def embed_sequences(
@@ -70,11 +67,10 @@ def project(vectors: DataFrame, layers: Sequence[tuple[np.ndarray, np.ndarray]])
     return placed.withColumn("x", F.col("_xy")[0]).withColumn("y", F.col("_xy")[1]).drop("_xy")
 
 
-def fitted_coordinates(vectors: DataFrame, key: str = "sequence", seed: int = 42) -> DataFrame:
-    """First two principal coordinates, fitted on a bounded sample and applied to all rows."""
+def fitted_coordinates(vectors: DataFrame) -> DataFrame:
+    """First two principal coordinates of all rows: one distributed Gramian, then one pass."""
     rows = vectors.withColumn("_v", array_to_vector("embedding"))
-    sample = sample_per_group(rows, [], FIT_ROWS, [key], seed)
-    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(sample)
+    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(rows)
     loadings = model.pc.toArray()
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(2)])
     xy = vector_to_array("_p")

@@ -112,7 +112,7 @@ def prototype_markers(
         cells.withColumn("value", F.col("count").cast("long")), ["prototype"], "value", case
     )
     # integer counts: distinct values per prototype are at most sqrt(2 x reads)
-    tests = R.rank_statistics(positive.unionByName(zero), ["prototype"], bounded=True).select(
+    tests = R.rank_statistics(positive.unionByName(zero), ["prototype"]).select(
         "prototype", "auc", "pval", "u"
     )
     total = F.col("n_case") + F.col("n_control")

@@ -72,7 +72,7 @@ def chain_counts(clones: DataFrame) -> DataFrame:
 
 def resolve_chains(clones: DataFrame, chain: str = "single") -> list[str]:
     """Chains to analyse: most frequent, pair, all, an explicit ``A+B`` list, or one name."""
-    found = [row["chain"] for row in chain_counts(clones).limit(50).collect()]
+    found = [row["chain"] for row in chain_counts(clones).collect()]
     if not found:
         return []
     both = [c for c in ("TRA", "TRB") if c in found]
@@ -82,8 +82,10 @@ def resolve_chains(clones: DataFrame, chain: str = "single") -> list[str]:
         return found
     if chain == "paired":
         return both if len(both) == 2 else found
-    named = [c for c in chain.split("+") if c in found]
-    return named or found[:1]
+    if "+" in chain:
+        named = [c.strip() for c in chain.split("+")]
+        return named if all(c in found for c in named) else found
+    return [chain] if chain in found else found[:1]
 
 
 def select_chains(clones: DataFrame, chain: str = "single") -> DataFrame:

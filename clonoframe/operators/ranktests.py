@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clonoframe.functions.tails import EXACT_LIMIT, correlation_p, rank_sum_p
@@ -32,21 +31,11 @@ def value_histogram(
     )
 
 
-def rank_statistics(
-    hist: DataFrame, by: Sequence[str], bounded: bool = False, pvalue: bool = True
-) -> DataFrame:
-    """U, AUC, tie term and two-sided p of each test from its value histogram.
-
-    ``bounded`` marks histograms whose distinct values per test are limited by
-    construction (integer counts); others rank over value ranges.
-    """
+def rank_statistics(hist: DataFrame, by: Sequence[str], pvalue: bool = True) -> DataFrame:
+    """U, AUC, tie term and two-sided p of each test, ranking its histogram over value ranges."""
     by = list(by)
     hist = hist.withColumn("t", F.col("n_in") + F.col("n_out"))
-    if bounded:
-        spot = W.partitionBy(*by).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-        ranked = hist.withColumn("upto", F.sum("t").over(spot))
-    else:
-        ranked = running_totals(hist, by, "value", {"upto": "t"})
+    ranked = running_totals(hist, by, "value", {"upto": "t"})
     t = F.col("t").cast("double")
     before = F.col("upto") - F.col("t")
     midrank = before + (t + 1) / 2
@@ -87,22 +76,14 @@ def z_score(u: Column, a: Column, b: Column, tie_term: Column) -> Column:
     return F.when(spread > 0, F.signum(u - a * b / 2) * F.try_divide(gap, F.sqrt(spread))).otherwise(0.0)
 
 
-def adjust_fdr(tests: DataFrame, p: str = "pval", out: str = "padj", drop_na: bool = False,
-               bounded: bool = True) -> DataFrame:
-    """Benjamini-Hochberg step-up over every emitted test.
+def adjust_fdr(
+    tests: DataFrame, p: str = "pval", out: str = "padj", drop_na: bool = False
+) -> DataFrame:
+    """Benjamini-Hochberg step-up over every emitted test, ranked over ranges of p.
 
-    The number of tests is set by the feature, k-mer or prototype vocabulary. With
-    ``bounded=False`` the same result comes from value ranges instead of one window.
+    Equal p values share one position; a null p stays null.
     """
     rows = tests.filter(F.col(p).isNotNull()) if drop_na else tests
-    if bounded:
-        # default range frames: equal p values share one position
-        upto = F.count(p).over(W.orderBy(F.asc_nulls_last(p)))
-        everything = F.count(p).over(W.partitionBy())
-        ranked = rows.withColumn("_raw", F.col(p) * everything / upto)
-        step = F.min("_raw").over(W.orderBy(F.desc_nulls_last(p)))
-        adjusted = F.when(F.col(p).isNotNull(), F.least(step, F.lit(1.0)))
-        return ranked.withColumn(out, adjusted).drop("_raw")
     known = rows.filter(F.col(p).isNotNull())
     hist = known.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_m"))
     total = known.agg(F.count(F.lit(1))).scalar()

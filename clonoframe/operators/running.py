@@ -1,11 +1,9 @@
 """Running totals over an ordered column without putting a whole group into one task.
 
-Input is a histogram: one row per (group, value) with additive columns. Each group is cut
-into value ranges at a bounded set of split points, ranges are totalled, and the running
-total inside a range starts from the total of the ranges below it. The split points are
-the values with the smallest hashes, so they follow the data's distribution and every
-evaluation of the plan picks the same ones. The histogram feeds three branches, so it is
-checkpointed first and whatever produced it runs once.
+Input is a histogram: one row per (group, value) with additive columns. Spark sorts it by range,
+so the number of ranges is that of the sort's partitions and grows with the data. The sorted
+rows are checkpointed with their partition; partitions are totalled per group (a few rows each),
+and the running total inside a partition starts from the total of the partitions before it.
 """
 
 from __future__ import annotations
@@ -18,25 +16,10 @@ from pyspark.sql import functions as F
 
 from clonoframe.session import cut_lineage
 
-RANGES = 64
 
-
-def split_points(hist: DataFrame, by: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
-    spot = W.partitionBy(*by).orderBy(F.xxhash64(value), F.col(value))
-    return (
-        hist.select(*by, value)
-        .withColumn("_spot", F.row_number().over(spot))
-        .filter(F.col("_spot") < ranges)
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
-    )
-
-
-def with_range(hist: DataFrame, by: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``: how many split points of the row's group lie below its value."""
-    cuts = split_points(hist, by, value, ranges)
-    below = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
-    return hist.join(cuts, list(by)).withColumn("_range", below).drop("_cuts")
+def with_range(hist: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Sorted and checkpointed, with ``_range``: the ascending number of the row's value range."""
+    return cut_lineage(hist.orderBy(*by, value)).withColumn("_range", F.spark_partition_id())
 
 
 def running_totals(
@@ -45,14 +28,13 @@ def running_totals(
     value: str,
     totals: dict[str, str],
     descending: bool = False,
-    ranges: int = RANGES,
 ) -> DataFrame:
     """Inclusive running sums in value order: ``totals`` maps output name to summed column."""
     by = list(by)
     single = not by
     if single:
         hist, by = hist.withColumn("_all", F.lit(1)), ["_all"]
-    ranged = with_range(cut_lineage(hist), by, value, ranges)
+    ranged = with_range(hist, by, value)
     blocks = ranged.groupBy(*by, "_range").agg(
         *[F.sum(source).alias(f"_block_{name}") for name, source in totals.items()]
     )
@@ -77,12 +59,9 @@ def running_totals(
     return out.drop("_all") if single else out
 
 
-def running_minimum_from_top(
-    hist: DataFrame, value: str, scored: str, out: str, ranges: int = RANGES
-) -> DataFrame:
+def running_minimum_from_top(hist: DataFrame, value: str, scored: str, out: str) -> DataFrame:
     """Minimum of ``scored`` over all rows whose value is at least this row's value."""
-    hist = cut_lineage(hist.withColumn("_all", F.lit(1)))
-    ranged = with_range(hist, ["_all"], value, ranges)
+    ranged = with_range(hist.withColumn("_all", F.lit(1)), ["_all"], value)
     blocks = ranged.groupBy("_all", "_range").agg(F.min(scored).alias("_low"))
     later = W.partitionBy("_all").orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = blocks.select("_all", "_range", F.min("_low").over(later).alias("_above"))

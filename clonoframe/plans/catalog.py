@@ -479,7 +479,7 @@ def _(spark, d):
 def _(spark, d):
     """FDR over value ranges, for test sets too large for one window."""
     tests = markers.sequence_markers(qc(spark, d), 2).drop("padj", "significant")
-    return ranktests.adjust_fdr(tests, bounded=False)
+    return ranktests.adjust_fdr(tests)
 
 
 @query("cohens_d")
@@ -742,11 +742,10 @@ def _(spark, d):
     from clonoframe.operators import panels
 
     vectors = panels.as_vectors(star.embeddings(spark, d)).select("vec_id", "_v")
-    rows = panels.saturation(
+    return panels.saturation(
         vectors, "vec_id", target=0.3, fractions=[0.25, 0.5, 1.0], candidates=[5, 10, 20, 40],
         n_init=1, max_iter=20,
     )
-    return spark.createDataFrame(rows)
 
 
 def learnt_counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[int]]:

@@ -14,12 +14,16 @@ from clonoframe.operators.quality import with_frequency
 # fixed column names of the supported formats
 ALIASES = {"junction_aa": "cdr3_aa", "v_call": "v_gene", "j_call": "j_gene",
            "duplicate_count": "count"}
-DIALECTS = [
-    {"cdr3_aa": "CDR3AA", "v_gene": "V_Gene", "j_gene": "J_Gene", "count": "Frequency"},
-    {"cdr3_aa": "junction_aa", "v_gene": "v_call", "j_gene": "j_call", "count": "duplicate_count"},
-    {"cdr3_aa": "CDR3aa", "v_gene": "vGeneName", "j_gene": "jGeneName", "count": "cloneFraction"},
-    {"cdr3_aa": "amino_acid", "v_gene": "v_gene", "j_gene": "j_gene", "count": "count"},
-]
+# names of each canonical column over all supported layouts, in order of preference
+NAMES = {
+    "cdr3_aa": ["CDR3AA", "junction_aa", "CDR3aa", "amino_acid", "cdr3_aa"],
+    "v_gene": ["V_Gene", "v_call", "vGeneName", "v_gene"],
+    "j_gene": ["J_Gene", "j_call", "jGeneName", "j_gene"],
+    "count": ["Frequency", "duplicate_count", "cloneFraction", "count"],
+}
+# parts of a name that mark a column where none of the known names is given
+SIMILAR = {"cdr3_aa": ["cdr3", "aa"], "v_gene": ["v_gene", "v_call"],
+           "j_gene": ["j_gene", "j_call"], "count": []}
 LONG_HEADERS = {"CDR3 amino acid sequence": "cdr3_aa", "V segments": "v_gene",
                 "J segments": "j_gene", "Count": "count"}
 CHAIN_IN_NAME = "__(TRA|TRB|TRG|TRD|IGH|IGK|IGL)"
@@ -106,40 +110,37 @@ def read_directory(
     return with_frequency(named, "_file").drop("_file")
 
 
-def pick_dialect(columns: list[str]) -> dict[str, str]:
-    """Column map of the first matching dialect, else a guess from the column names."""
-    for dialect in DIALECTS:
-        if dialect["cdr3_aa"] in columns:
-            return dialect
-    guess = next((c for c in columns if "cdr3" in c.lower() or "aa" in c.lower()), None)
-    if guess is None:
-        raise ValueError("no sequence column found")
-    out = {"cdr3_aa": guess, "v_gene": "V_Gene", "j_gene": "J_Gene", "count": "Frequency"}
-    for c in columns:
-        low = c.lower()
-        if "v_gene" in low or "v_call" in low:
-            out["v_gene"] = c
-        if "j_gene" in low or "j_call" in low:
-            out["j_gene"] = c
-    return out
+def resolved(columns: list[str]) -> dict[str, list[str]]:
+    """Per canonical column the given columns that may hold it: known names, then similar ones."""
+    return {
+        name: [a for a in NAMES[name] if a in columns]
+        + [c for c in columns if any(part in c.lower() for part in parts)]
+        for name, parts in SIMILAR.items()
+    }
 
 
 def from_dialect(rows: DataFrame) -> DataFrame:
-    """Canonical columns from any supported layout; missing genes become '?'.
+    """Canonical columns from any supported layout, or from several united by column name.
 
-    The abundance column is kept as given, because some layouts carry shares.
+    Each value comes from the first of its column's names that is not null in the row. Missing
+    genes become '?', a missing abundance 1; abundance stays as given, because some layouts
+    carry shares.
     """
-    chosen = pick_dialect(rows.columns)
+    found = resolved(rows.columns)
+    if not found["cdr3_aa"]:
+        raise ValueError("no sequence column found")
+
+    def first(name: str) -> Column:
+        return F.coalesce(*[F.col(f"`{c}`") for c in dict.fromkeys(found[name])])
 
     def gene(name: str) -> Column:
-        source = chosen[name]
-        return (normalized_gene(source) if source in rows.columns else F.lit("?")).alias(name)
+        value = F.coalesce(normalized_gene(first(name)), F.lit("?")) if found[name] else F.lit("?")
+        return value.alias(name)
 
-    amount = chosen["count"]
-    abundance = F.col(amount).try_cast("double") if amount in rows.columns else F.lit(1.0)
+    abundance = first("count").try_cast("double") if found["count"] else F.lit(1.0)
     extra = [c for c in ("_file", "group", "sample_id", "chain") if c in rows.columns]
     out = rows.select(
-        F.col(chosen["cdr3_aa"]).alias("cdr3_aa"), gene("v_gene"), gene("j_gene"),
+        first("cdr3_aa").alias("cdr3_aa"), gene("v_gene"), gene("j_gene"),
         abundance.alias("count"), *extra,
     )
     return out.filter(standard_only("cdr3_aa", 4))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonoframe.functions.sequence import standard_only
-from clonoframe.operators.sampling import sample_per_group, unit_hash
+from clonoframe.operators.sampling import sample_per_group
 
 MIN_POOL_LENGTH = 8
 
@@ -46,9 +46,11 @@ def build_pool(datasets: Sequence[DataFrame], top: int | None = None) -> DataFra
     return pool if top is None else pool.orderBy(F.desc("total_count"), "sequence").limit(top)
 
 
-def unique_sequences(clones: DataFrame, limit: int = 500_000, seed: int = 42) -> DataFrame:
-    """Distinct standard sequences, a hash-ordered sample when there are more than ``limit``."""
+def unique_sequences(clones: DataFrame, limit: int | None = None, seed: int = 42) -> DataFrame:
+    """Distinct standard sequences; with ``limit`` a hash-ordered sample of so many."""
     distinct = clones.select("cdr3_aa").filter(standard_only("cdr3_aa")).distinct()
+    if limit is None:
+        return distinct
     return sample_per_group(distinct, [], limit, ["cdr3_aa"], seed)
 
 
@@ -61,9 +63,12 @@ def chain_sequences(clones: DataFrame, chain: str = "single") -> DataFrame:
 
 
 def antigen_dataset(
-    positives: DataFrame, background: DataFrame, n_per_group: int = 2000, seed: int = 42
+    positives: DataFrame, background: DataFrame, n_per_group: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Labelled sequences: a seeded sample of both classes, genes kept with their sequence."""
+    """Labelled sequences of both classes, genes kept with their sequence.
+
+    ``n_per_group`` draws a seeded sample of so many per class, for balanced benchmarks.
+    """
     sides = []
     for rows, label in ((positives, 1), (background, 0)):
         genes = [
@@ -71,10 +76,12 @@ def antigen_dataset(
             for g in ("v_gene", "j_gene")
         ]
         valid = rows.filter(standard_only("cdr3_aa", 4)).select("cdr3_aa", *genes).distinct()
+        if n_per_group is not None:
+            valid = sample_per_group(valid, [], n_per_group, ["cdr3_aa", "v_gene", "j_gene"], seed)
         sides.append(
-            sample_per_group(valid, [], n_per_group, ["cdr3_aa", "v_gene", "j_gene"], seed)
-            .withColumn("count", F.lit(1).cast("long"))
-            .withColumn("label", F.lit(label))
+            valid.withColumn("count", F.lit(1).cast("long")).withColumn(
+                "label", F.lit(label)
+            )
         )
     return sides[0].unionByName(sides[1])
 
@@ -90,21 +97,19 @@ def read_antigen_export(
     path: str,
     species: str | None = None,
     gene: str | None = None,
-    limit: int = 10_000,
+    limit: int | None = None,
     score: str = "vdjdb.score",
 ) -> DataFrame:
-    """Nine columns of an antigen-database export, best scores first."""
+    """Nine columns of an antigen-database export; with ``limit`` the best scores only."""
     rows = spark.read.csv(path, header=True, sep="\t", quote="")
     if species:
         rows = rows.filter(F.col("species") == species)
     if gene:
         rows = rows.filter(F.col("gene") == gene)
-    order = [F.desc(F.col(f"`{score}`").try_cast("double"))] if score in rows.columns else []
-    return (
-        rows.orderBy(*order, F.col("cdr3"))
-        .limit(limit)
-        .select(*[F.col(f"`{c}`").alias(n) for c, n in ANTIGEN_COLUMNS.items()])
-    )
+    if limit is not None:
+        known = [F.desc(F.col(f"`{score}`").try_cast("double"))] if score in rows.columns else []
+        rows = rows.orderBy(*known, F.col("cdr3")).limit(limit)
+    return rows.select(*[F.col(f"`{c}`").alias(n) for c, n in ANTIGEN_COLUMNS.items()])
 
 
 def read_map_metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,7 +122,3 @@ def read_map_metadata(spark: SparkSession, folder: str) -> DataFrame:
         if target.getFileSystem(conf).exists(target):
             return spark.read.csv(f"{folder}/{name}", header=True, inferSchema=True)
     raise FileNotFoundError(f"no map metadata in {folder}")
-
-
-def hashed_sample(df: DataFrame, fraction: float, key: str, seed: int = 42) -> DataFrame:
-    return df.filter(unit_hash(key, seed=seed) < fraction)
