@@ -4,15 +4,16 @@
    64 bits), an order-free key of the set, band keys, and one byte per MinHash value.
 2. Documents with equal sets form a class (they are linked by definition); only its smallest
    id goes on. The count is partial-aggregated, so a group of copies is never gathered.
-3. Band buckets give candidates without emitting all pairs of a bucket: first every member
-   against the bucket's smallest member, then only members of different components, a bucket
-   above ``BUCKET`` members being split by a second band first. Buckets whose members already
-   share a component are dropped, which is what happens to large groups of near copies.
+3. Band buckets give candidates without emitting all pairs of a bucket. In ``ROUNDS`` rounds
+   every member outside the bucket's main component is paired with one leader out of it, and
+   each document verifies its likeliest pair. That joins large groups of near copies, and a
+   bucket whose members share a component is done. Members of buckets still open then meet by a
+   prefix filter over their full sets, which is exact and looks at different components only.
 4. Candidates are compared signature batch by signature batch. After each, a pair is dropped
    if the posterior probability of reaching the threshold is below ``MISS`` (uniform prior).
 5. Survivors are verified on their full sets, so every link is exact. A pair at the threshold
-   is missed with probability ``(1 - t^rows)^bands`` < 6e-6 by the bands, about 1e-4 where the
-   bucket had to be split, and at most ``MISS`` per comparison batch.
+   is missed with probability ``(1 - t^rows)^bands`` < 6e-6 by the bands, and at most ``MISS`` per
+   comparison batch.
 6. Links become components by alternating large-star and small-star rounds on staged edges.
 
 Defined cases: null or wordless text has no shingles and is linked with nothing; fewer words
@@ -40,7 +41,8 @@ THRESHOLD = 75  # per cent, compared in integers
 BANDS, ROWS = 32, 4
 BATCH = 32  # signature bytes compared at once
 MISS = 1e-6
-BUCKET = 64  # members; larger unresolved buckets are split by a second band
+ROUNDS = 2  # of leader pairs, before the remaining pairs are looked at
+SKETCH_CELLS = 1 << 18  # of the frequency sketch that orders shingles
 
 SKETCH = "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"
 
@@ -107,9 +109,8 @@ def _screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             agree[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
             alive = alive[agree[alive] >= least_agreement(start + BATCH)]
         yield pd.DataFrame(
-            {"a": batch["a"].to_numpy()[alive], "b": batch["b"].to_numpy()[alive],
-             "agree": agree[alive]}
-        )
+            {c: batch[c].to_numpy()[alive] for c in ("a", "b", "seeker")} | {"agree": agree[alive]}
+        )
 
 
 def screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -119,8 +120,8 @@ def screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sized = pairs.join(one, "a").join(two, "b").where(
         F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD
     )
-    return sized.select("a", "b", "sig_a", "sig_b").mapInPandas(
-        _screen, "a long, b long, agree long"
+    return sized.select("a", "b", "seeker", "sig_a", "sig_b").mapInPandas(
+        _screen, "a long, b long, seeker long, agree long"
     )
 
 
@@ -143,13 +144,16 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    sets = staged(
-        texts.mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"])
+def shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Staged (id, hashes): the full shingle sets of the given ids only."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(
+        ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"
     )
+    return staged(texts.mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
     one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("h_a"))
     two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("h_b"))
     return pairs.join(one, "a").join(two, "b").mapInPandas(_links, "a long, b long")
@@ -176,27 +180,94 @@ def components(links: DataFrame) -> DataFrame:
         edges = staged(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of buckets that still hold more than one component, with the commonest one."""
+    if labels is None:  # every representative is its own component
+        labels = members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
     own = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("comp")
     )
     sizes = own.groupBy("key", "comp").agg(F.count("*").alias("c"))
     open_keys = (
         sizes.groupBy("key")
-        .agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        .agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"))
         .where("comps > 1")
         .drop("comps")
     )
     return own.join(open_keys, "key")
 
 
-def _cross(rows: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket; members of the main one meet only the others."""
-    few = rows.where("comp <> main").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    pairs = rows.join(few, "key").where(
-        "comp <> cx and (comp = main or rep < x)"
+def _led(rows: DataFrame, number: int) -> DataFrame:
+    """One pair per member outside its bucket's main component, with a leader out of that.
+
+    In the first round the leader is the smallest member, the same in many buckets, so that few
+    distinct pairs arise; later it differs by bucket and round.
+    """
+    order = F.col("rep") if number == 0 else F.xxhash64("key", "rep", F.lit(number))
+    leader = rows.where("comp = main").groupBy("key").agg(F.min_by("rep", order).alias("lead"))
+    pairs = rows.where("comp <> main").join(leader, "key")
+    return pairs.select(
+        F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"),
+        F.col("rep").alias("seeker"),
+    ).distinct()
+
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(SKETCH_CELLS, np.int64)
+    for batch in batches:
+        for data in batch["hashes"]:
+            cells = (np.frombuffer(data, np.uint64) % np.uint64(SKETCH_CELLS)).astype(np.int64)
+            total += np.bincount(cells, minlength=SKETCH_CELLS)
+    some = np.flatnonzero(total)
+    yield pd.DataFrame({"cell": some, "n": total[some]})
+
+
+def _by_prefix(rows: DataFrame) -> DataFrame:
+    """Pairs (a < b) of different components that may reach the threshold, without band buckets.
+
+    All sets are ordered alike, rarest shingle first by a frequency sketch of fixed size. A pair
+    at the threshold shares one of the first n - ceil(t n) + 1 shingles of either set (prefix
+    filter), and from the first shared one on enough must be left in both (positional filter).
+    The second test depends on sizes and positions only, so it is made once for all rows of a
+    shingle that agree in them: text that many documents share gives no pairs unless the
+    documents consist of little else.
+    """
+    rows = staged(rows)
+    cells = rows.select("hashes").mapInPandas(_frequencies, "cell long, n long")
+    counted = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(SKETCH_CELLS, np.int64)
+    table[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(table)  # SKETCH_CELLS x 8 bytes
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rep, comp, data in zip(batch["rep"], batch["comp"], batch["hashes"], strict=True):
+                own = np.frombuffer(data, np.uint64)
+                often = shared.value[(own % np.uint64(SKETCH_CELLS)).astype(np.int64)]
+                first = len(own) - -(-THRESHOLD * len(own) // 100) + 1
+                prefix = own[np.lexsort((own, often))[:first]]
+                yield pd.DataFrame(
+                    {"token": _signed(prefix), "rep": rep, "comp": comp, "n": len(own),
+                     "place": np.arange(len(prefix))}
+                )
+
+    tokens = staged(rows.mapInPandas(run, "token long, rep long, comp long, n long, place long"))
+    sizes = tokens.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    mixed = (
+        sizes.groupBy("token")
+        .agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"))
+        .where("comps > 1").drop("comps")
+    )
+    tokens = staged(tokens.join(mixed, "token"))
+    shapes = tokens.groupBy("token", "n", "place").agg(F.bool_or(F.expr("comp <> main")).alias("few"))
+    other = shapes.select("token", F.col("n").alias("m"), F.col("place").alias("q"))
+    fitting = shapes.where("few").drop("few").join(other, "token").where(
+        f"least(n - place, m - q) * {100 + THRESHOLD} >= {THRESHOLD} * (n + m)"
     )
+    few = tokens.where("comp <> main").select("token", "n", "place", F.col("rep").alias("x"), F.col("comp").alias("cx"))
+    near = few.join(fitting, ["token", "n", "place"]).select("token", "m", "q", "x", "cx")
+    all_ = tokens.select("token", F.col("n").alias("m"), F.col("place").alias("q"), "rep", "comp", "main")
+    pairs = near.join(all_, ["token", "m", "q"]).where("comp <> cx and (comp = main or rep < x)")
     return pairs.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
 
 
@@ -210,32 +281,35 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = staged(keyed.join(groups, "key"))
-    # every member against the smallest of its bucket: one exact check per representative first
-    star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    star = staged(screened(star, reps))
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a"))
-    first = staged(verified(best.select("a", "b"), docs))
-    labels = components(first)
-    # what still separates components inside a bucket
-    still = staged(_labelled(members.select("key", "rep"), labels))
-    small = still.where(F.col("size") <= BUCKET)
-    other = F.explode("bands").alias("other")
-    split = (
-        still.where(F.col("size") > BUCKET)
-        .join(reps.select("rep", other), "rep")
-        .where("other <> key")
-        .select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "rep")
-        .distinct()
-    )
-    pairs = _cross(small).unionAll(_cross(_labelled(split, labels))).distinct()
-    rest = staged(screened(pairs, reps).join(best.select("a", "b"), ["a", "b"], "left_anti"))
-    second = verified(rest.select("a", "b"), docs)
+    members = members.select("key", "rep")
+    sets = shingled(docs, members.select("rep").distinct())
+    tried = links = labels = None
+    for number in range(ROUNDS):
+        # each member seeks one other component: that of its bucket's leader
+        rows_now = staged(_labelled(members, labels))
+        pairs = screened(_led(rows_now, number), reps)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        best = staged(
+            pairs.groupBy("seeker").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p"))
+            .select("p.*").distinct()
+        )
+        found = staged(verified(best, sets))
+        tried = best if tried is None else tried.unionAll(best)
+        links = found if links is None else links.unionAll(found)
+        labels = staged(components(links))
+    # whatever still separates components inside a bucket
+    still = _labelled(members, labels).select("rep", "comp").distinct()
+    pairs = _by_prefix(still.join(sets.withColumnRenamed("id", "rep"), "rep"))
+    rest = screened(pairs.withColumn("seeker", F.col("b")), reps)
+    rest = staged(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    links = links.unionAll(verified(rest, sets))
     classes = rows.join(
         worded.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), ["n", "s1", "s2"], "left"
     ).select("doc_id", F.col("n").alias("n_shingles"), "rep")
-    return classes, first.unionAll(second)
+    return classes, links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
