@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clonoframe.llm import chat_windows, license_scan, mixing, quality_rules
+from clonoframe.llm import chat_windows, license_scan, mixing, near_dedup, quality_rules
 from clonoframe.llm.queries import PROBE
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -194,9 +194,42 @@ select doc_id, size, source_size, target,
 from c"""
 
 
+def _op9() -> str:
+    width, t = near_dedup.WIDTH, near_dedup.THRESHOLD
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+                                    '{WORD}') as w
+  from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[i:i + {width - 1}], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) as i
+        from d where len(w) > 0)
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingles as a join shingles as b on a.s = b.s and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from common join sizes as x on x.doc_id = a join sizes as y on y.doc_id = b
+  where 100 * c >= {t} * (x.n + y.n - c)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach(doc_id, other) as (
+  select doc_id, doc_id from documents
+  union
+  select reach.doc_id, both_ways.b from reach join both_ways on both_ways.a = reach.other
+)
+select doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id,
+       doc_id = min(other) as kept
+from reach left join sizes using (doc_id) group by doc_id"""
+
+
 QUERIES: dict[str, str] = {
     "op1_chat_formatting": _op1(),
     "op2_license_scan": _op2(),
     "op7_mixing": _op7(),
     "op8_quality_rules": _op8(),
+    "op9_minhash_near_dedup": _op9(),
 }
