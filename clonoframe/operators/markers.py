@@ -16,12 +16,12 @@ from clonoframe.session import cut_lineage
 def statistical_markers(
     features: DataFrame, columns: Sequence[str], fdr: float = 0.05, group: str = "group"
 ) -> DataFrame:
-    """Every feature against every group with at least two samples on both sides."""
+    """Every feature against every group with at least two samples on both sides, by padj."""
     features = cut_lineage(features.select("sample_id", group, *columns))
     rows = R.melt(features, ["sample_id", group], columns)
     tests = R.group_against_rest(rows, R.group_names(features, group), group=group)
     out = R.adjust_fdr(tests)
-    return out.withColumn("significant", F.col("padj") < fdr)
+    return out.withColumn("significant", F.col("padj") < fdr).orderBy("padj", "feature", group)
 
 
 def kmer_counts(clones: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
@@ -35,6 +35,8 @@ def sequence_markers(
 ) -> DataFrame:
     """k-mer enrichment of each group against the rest, FDR over all groups jointly.
 
+    The largest odds ratios come first.
+
     The number of groups is small; k-mers are bounded by alphabet^k, so everything after
     the first aggregation is vocabulary-sized.
     """
@@ -69,7 +71,8 @@ def sequence_markers(
         "pval", fisher_p("count_in", "b", "count_out", "d")
     )
     out = R.adjust_fdr(scored.drop("b", "d"))
-    return out.withColumn("significant", (F.col("padj") < fdr) & (F.col("odds_ratio") > 1))
+    out = out.withColumn("significant", (F.col("padj") < fdr) & (F.col("odds_ratio") > 1))
+    return out.orderBy(F.desc("odds_ratio"), "motif", group)
 
 
 def prototype_markers(

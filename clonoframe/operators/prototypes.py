@@ -274,10 +274,7 @@ def ranks_to_reach(ranking: DataFrame, shares: Sequence[float] = (0.5, 0.8, 0.9)
     )
 
 
-def signed_extremes(ranking: DataFrame, n: int = 50) -> DataFrame:
-    """The n largest and n smallest mean weights."""
-    top = ranking.orderBy(F.desc("mean_weight"), "prototype").limit(n)
-    low = ranking.orderBy("mean_weight", "prototype").limit(n)
-    return top.withColumn("side", F.lit("case")).unionByName(
-        low.withColumn("side", F.lit("control"))
-    )
+def signed_extremes(ranking: DataFrame, n: int = 100) -> DataFrame:
+    """The n weights of largest size, by the side their sign speaks for."""
+    top = ranking.orderBy(F.desc(F.abs("mean_weight")), "prototype").limit(n)
+    return top.withColumn("side", F.when(F.col("mean_weight") > 0, "case").otherwise("control"))

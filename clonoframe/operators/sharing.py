@@ -67,9 +67,9 @@ def sharing_statistics(clones: DataFrame) -> DataFrame:
 def overlap_with(clones: DataFrame, anchors: DataFrame) -> DataFrame:
     """|A and B| / |A| of every sample A with each anchor sample B.
 
-    ``anchors`` is a one-column table of sample ids chosen by the caller; the result has
-    one row per sample and anchor, zero overlaps included through the outer join on pairs
-    that do occur only. Work grows with samples x anchors that share something.
+    ``anchors`` is a one-column table of sample ids chosen by the caller; the result has one
+    row per sample and anchor that occurs in ``clones``, with 0 where nothing is shared. Those
+    zeros come from one list of anchors per sample, so the work grows with the result.
     """
     owned = clones.select("sample_id", "cdr3_aa").distinct()
     theirs = owned.join(anchors.select("sample_id"), "sample_id", "left_semi").select(
@@ -79,15 +79,21 @@ def overlap_with(clones: DataFrame, anchors: DataFrame) -> DataFrame:
     shared = owned.join(theirs, "cdr3_aa").groupBy("sample_id", "anchor_id").agg(
         F.count(F.lit(1)).alias("shared")
     )
-    return shared.join(sizes, "sample_id").select(
-        "sample_id", "anchor_id", "shared", (F.col("shared") / F.col("n")).alias("overlap")
+    chosen = theirs.agg(F.collect_set("anchor_id")).scalar()
+    wanted = sizes.select("sample_id", "n", F.explode(chosen).alias("anchor_id"))
+    common = F.coalesce("shared", F.lit(0))
+    return wanted.join(shared, ["sample_id", "anchor_id"], "left").select(
+        "sample_id", "anchor_id", common.alias("shared"), (common / F.col("n")).alias("overlap")
     )
 
 
 def public_clonotypes(
     clones: DataFrame, min_patient_frac: float = 0.2, strict: bool = False
 ) -> DataFrame:
-    """Clonotypes held by at least a fraction of a group's samples (all of them if strict)."""
+    """Clonotypes held by at least a fraction of a group's samples (all of them if strict).
+
+    The most widely held come first.
+    """
     owned = owned_clonotypes(clones.filter(F.col("group").isNotNull()))
     sizes = (
         clones.filter(F.col("group").isNotNull())
@@ -103,4 +109,5 @@ def public_clonotypes(
         "cdr3_aa", "group", "held_by", frac.alias("patient_frac")
     )
     floor = 1.0 if strict else min_patient_frac
-    return rows.filter(F.col("patient_frac") >= floor)
+    public = rows.filter(F.col("patient_frac") >= floor)
+    return public.orderBy(F.desc("patient_frac"), "group", "cdr3_aa")

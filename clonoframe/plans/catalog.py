@@ -415,7 +415,7 @@ def _(spark, d):
 def _(spark, d):
     clones = qc(spark, d)
     parts = [
-        benchfeatures.top_clones(clones.filter(F.col("chain") == c), 100) for c in ("TRA", "TRB")
+        benchfeatures.top_clones(clones.filter(F.col("chain") == c), 500) for c in ("TRA", "TRB")
     ]
     common = parts[0].select("sample_id").distinct().join(
         parts[1].select("sample_id").distinct(), "sample_id"
@@ -619,7 +619,7 @@ def _(spark, d):
 
 @query("matrix_sparsity")
 def _(spark, d):
-    counts = panel_counts(spark, d).filter(F.col("count") > 2000)
+    counts = panel_counts(spark, d)
     samples = qc(spark, d).select("sample_id").distinct().agg(F.count(F.lit(1))).scalar()
     ids = panel_ids(spark, d).agg(F.count(F.lit(1))).scalar()
     return prototypes.sparsity(counts, samples, ids)
@@ -627,8 +627,7 @@ def _(spark, d):
 
 @query("prototype_markers")
 def _(spark, d):
-    # cells of few reads are dropped so that some prototypes are absent from some samples
-    counts = panel_counts(spark, d).filter(F.col("count") > 1200)
+    counts = panel_counts(spark, d)
     return markers.prototype_markers(counts, labels(spark, d), panel_ids(spark, d)).select(
         "prototype", "log_fc", "case_mean", "control_mean", "expressed_frac", "tested", "auc",
         "effect_size",
@@ -824,8 +823,7 @@ def _(spark, d):
         "fold int, prototype long, weight double",
     )
     clones = with_vectors(qc(spark, d), spark, d)
-    tables = tier2.interpret(clones, panel(spark, d), prototypes.weight_ranking(weights), key="vec_id",
-                             n_top=5)
+    tables = tier2.interpret(clones, panel(spark, d), prototypes.weight_ranking(weights), key="vec_id")
     return tables["v_gene_enrichment"]
 
 

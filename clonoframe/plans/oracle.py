@@ -497,7 +497,7 @@ select sample_id, cdr3_aa, v_gene, j_gene, cnt from (select *, {RANKED} from qc)
 QUERIES["joint_chains"] = sql(
     CLONES, QC,
     f"""best as (select * from (select *, {RANKED.replace('partition by sample_id', 'partition by sample_id, chain')}
-      from qc) where r <= 100)""",
+      from qc) where r <= 500)""",
     body="""select sample_id, chain, count(*) as n, cast(sum(cnt) as bigint) as reads from best
       where sample_id in (select sample_id from best where chain = 'TRA')
         and sample_id in (select sample_id from best where chain = 'TRB') group by sample_id, chain""")
@@ -822,13 +822,13 @@ from (select distinct label from embeddings) l left join panel p on p.prototype
 QUERIES["matrix_sparsity"] = sql(
     CLONES, QC, PROTO, keys="nonzero", doubles="sparsity",
     body="""select count(*) as nonzero, 1 - cast(count(*) as double) / ((select count(distinct sample_id) from qc)
-      * (select count(distinct label) from embeddings)) as sparsity from pcounts where cnt > 2000""")
+      * (select count(distinct label) from embeddings)) as sparsity from pcounts where cnt > 0""")
 # dense matrix on purpose
 DENSE = """
 dense as (
   select m.sample_id, m.grp, l.prototype, coalesce(p.cnt, 0) as value
   from meta m cross join (select distinct cast(label as bigint) as prototype from embeddings) l
-  left join (select * from pcounts where cnt > 1200) p on p.sample_id = m.sample_id and p.prototype = l.prototype)"""
+  left join pcounts p on p.sample_id = m.sample_id and p.prototype = l.prototype)"""
 QUERIES["prototype_markers"] = sql(
     CLONES, QC, META, PROTO, DENSE,
     f"stats as ({rank_stats('dense', 'prototype', 'grp = ' + repr('case'))})",

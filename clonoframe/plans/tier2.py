@@ -128,7 +128,7 @@ def interpret(
     ranking: DataFrame,
     known: DataFrame | None = None,
     key: str = "cdr3_aa",
-    n_top: int = 50,
+    n_top: int = 100,
     k: int = 4,
 ) -> dict[str, DataFrame]:
     """What the most positive and most negative prototypes consist of."""
@@ -163,10 +163,12 @@ def interpret(
     return out
 
 
-def end_rows(table: DataFrame, by: str, n: int = 15) -> DataFrame:
-    """The n highest and n lowest rows of an enrichment table."""
-    top = table.orderBy(F.desc(by)).limit(n).withColumn("end", F.lit("top"))
-    return top.unionByName(table.orderBy(F.asc(by)).limit(n).withColumn("end", F.lit("bottom")))
+def end_rows(table: DataFrame, by: str, name: str, n: int = 15) -> DataFrame:
+    """The n highest and n lowest rows of an enrichment table; ``name`` decides ties."""
+    top = table.orderBy(F.desc(by), name).limit(n).withColumn("end", F.lit("top"))
+    return top.unionByName(
+        table.orderBy(F.asc(by), name).limit(n).withColumn("end", F.lit("bottom"))
+    )
 
 
 def adjusted_properties(comparison: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ def session(app: str = "clonoframe", cores: str | None = None, partitions: int |
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "4g"))
         .getOrCreate()
     )

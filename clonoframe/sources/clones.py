@@ -70,17 +70,60 @@ def parent_folder(column: str = "_file") -> Column:
     return F.element_at(F.split(F.col(column), "/"), -2)
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str = "*.csv", sep: str = ",") -> DataFrame:
-    """All matching files below a folder as text columns, with the file each row came from.
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """(path, _file) of the matching files that hold something; only the listing is read.
 
-    Malformed lines and empty files yield no rows. Columns are matched by name per header,
-    so files of one call share one layout.
+    ``_file`` is the name by which rows know their file, ``path`` the one to read it by.
     """
-    rows = spark.read.csv(
-        folder, header=True, sep=sep, mode="DROPMALFORMED", recursiveFileLookup=True,
-        pathGlobFilter=pattern, enforceSchema=False,
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
+        .load(folder)
     )
-    return rows.select("*", F.col("_metadata.file_path").alias("_file"))
+    return files.where("length > 0").select("path", F.col("_metadata.file_path").alias("_file"))
+
+
+def layouts(files: DataFrame) -> dict[str, list[str]]:
+    """Paths by header line, so that each layout is read with its own columns.
+
+    One pass over the lines keeps the first of each file; only paths and headers, as many as
+    the listing Spark itself holds, come to the driver.
+    """
+    paths = [r["path"] for r in files.collect()]
+    if not paths:
+        return {}
+    lines = files.sparkSession.read.text(paths).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_line"),
+        "value",
+    )
+    headers = lines.groupBy("_file").agg(F.min_by("value", F.struct("_at", "_line")).alias("header"))
+    out: dict[str, list[str]] = {}
+    for row in headers.join(files, "_file").orderBy("_file").collect():
+        out.setdefault(row["header"], []).append(row["path"])
+    return out
+
+
+def read_listed(files: DataFrame, sep: str) -> DataFrame:
+    """Text columns of the files, matched by name within and across layouts, with ``_file``.
+
+    Malformed lines give no rows. Columns that only some layouts have are null elsewhere.
+    """
+    spark, out = files.sparkSession, None
+    for paths in layouts(files).values():
+        rows = spark.read.csv(
+            paths, header=True, sep=sep, mode="DROPMALFORMED", enforceSchema=False
+        ).select("*", F.col("_metadata.file_path").alias("_file"))
+        rows = with_aliases(rows)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return spark.createDataFrame([], "_file string") if out is None else out
+
+
+def read_files(spark: SparkSession, folder: str, pattern: str = "*.csv", sep: str = ",") -> DataFrame:
+    """All matching files below a folder, whatever layout each has; empty files are skipped."""
+    return read_listed(list_files(spark, folder, pattern), sep)
 
 
 def read_directory(
@@ -92,7 +135,7 @@ def read_directory(
     marks a second file of the same subject and is kept apart as ``subject_id``.
     """
     glob = pattern or (f"*__{chain}*.csv" if chain else "*.csv")
-    rows = typed(with_aliases(read_files(spark, folder, glob)))
+    rows = typed(read_files(spark, folder, glob))
     S.require(rows, ["cdr3_aa", "v_gene", "j_gene", "count"])
     stem = file_stem()
     sample = F.split_part(stem, F.lit("__"), F.lit(1))
@@ -187,7 +230,7 @@ def read_positive_negative(spark: SparkSession, folder: str, top: int = TOP) ->
     """``negative`` and ``positive`` folders in the exchange or canonical layout."""
     out = None
     for group in ("negative", "positive"):
-        rows = with_aliases(read_files(spark, f"{folder}/{group}", "*.csv"))
+        rows = read_files(spark, f"{folder}/{group}", "*.csv")
         clean = rows.select(
             F.regexp_replace(file_stem(), "__TRB$", "").alias("sample_id"),
             F.lit(group).alias("group"),
@@ -208,8 +251,8 @@ def first_file_per_patient(files: DataFrame) -> DataFrame:
     PBMC files only, one excluded group, no later replicates, first file per patient.
     """
     parts = F.split(file_stem(), "_")
-    named = files.select("_file", parts.alias("_p")).filter(F.size("_p") >= 4).select(
-        "_file", F.col("_p")[0].alias("accession"), F.col("_p")[1].alias("cohort"),
+    named = files.select("*", parts.alias("_p")).filter(F.size("_p") >= 4).select(
+        *files.columns, F.col("_p")[0].alias("accession"), F.col("_p")[1].alias("cohort"),
         F.col("_p")[2].alias("patient"), F.col("_p")[3].alias("cells"), "_p",
     )
     late = (F.size("_p") > 5) & F.get("_p", F.lit(4)).startswith("L") & (F.get("_p", F.lit(4)) != "L1")
@@ -222,11 +265,11 @@ def first_file_per_patient(files: DataFrame) -> DataFrame:
 
 def read_cohort_archive(spark: SparkSession, folder: str, case: str = "MS", top: int = TOP) -> DataFrame:
     """Compressed tab files with long headers, cohort and patient in the file name."""
-    rows = read_files(spark, folder, "*.txt.gz", "\t").withColumnsRenamed(LONG_HEADERS)
+    # chosen by name, so that no other archive is opened
+    chosen = first_file_per_patient(list_files(spark, folder, "*.txt.gz"))
+    rows = read_listed(chosen.select("path", "_file"), "\t").withColumnsRenamed(LONG_HEADERS)
     S.require(rows, ["cdr3_aa", "v_gene", "j_gene", "count"])
-    # file names only: one row per file
-    chosen = first_file_per_patient(rows.select("_file").distinct())
-    clones = rows.join(chosen, "_file").select(
+    clones = rows.join(chosen.drop("path"), "_file").select(
         F.concat_ws("_", "accession", "cohort", "patient").alias("sample_id"),
         F.when(F.col("cohort") == case, case).otherwise("Control").alias("group"),
         "cdr3_aa",
