@@ -461,7 +461,8 @@ def _(spark, d):
     feats = cut_lineage(sample_features(spark, d))
     rows = ranktests.melt(feats, ["sample_id", "group"], TESTED)
     return ranktests.group_against_rest(rows, ranktests.group_names(feats)).select(
-        "feature", "group", "n_in", "n_out", "u", "auc", "z", "mean_in", "mean_out", "mean_diff"
+        "feature", "group", "n_in", "n_out", "u", "auc", "z", "pval", "mean_in", "mean_out",
+        "mean_diff",
     )
 
 
@@ -511,7 +512,7 @@ def _(spark, d):
 
 @query("expansion")
 def _(spark, d):
-    return domains.expansion_gradient(qc(spark, d), pvalue=False)
+    return domains.expansion_gradient(qc(spark, d))
 
 
 @query("axis_corr")
@@ -529,7 +530,7 @@ def _(spark, d):
 
 @query("centroid_shift")
 def _(spark, d):
-    return domains.centroid_shift(axes(spark, d), "axis2", pvalue=False)
+    return domains.centroid_shift(axes(spark, d), "axis2")
 
 
 @query("modified_axis")
@@ -550,7 +551,7 @@ def _(spark, d):
     return domains.property_comparison(
         named, ["length", "charge", "hydrophobicity", "aromaticity", "glycine", "proline"],
         F.col("group") == "case",
-    ).select("feature", "n_in", "n_out", "u", "auc", "z")
+    ).select("feature", "n_in", "n_out", "u", "auc", "z", "pval", "stars")
 
 
 # ---- metrics ---------------------------------------------------------------------------------

@@ -91,7 +91,7 @@ def sql(*ctes: str, body: str, doubles: str = "", keys: str = "") -> str:
             f"(round(cast({c} as double), 6) + 0.0) as {c}" for c in doubles.split()
         ]
         body = f"select {', '.join(cols)} from ({body}) final_rows"
-    return f"with {', '.join(ctes)} {body}"
+    return f"with recursive {', '.join(ctes)} {body}"
 
 
 def quoted(values: list[str]) -> str:
@@ -537,16 +537,66 @@ group by {keys}"""
 Z = """case when n_in * n_out / 12.0 * ((n_in + n_out + 1) - tie_term / ((n_in + n_out) * (n_in + n_out - 1.0))) > 0
   then sign(u - n_in * n_out / 2.0) * greatest(0.0, abs(u - n_in * n_out / 2.0) - 0.5)
      / sqrt(n_in * n_out / 12.0 * ((n_in + n_out + 1) - tie_term / ((n_in + n_out) * (n_in + n_out - 1.0)))) else 0 end"""
+# two-sided normal tail by the series of erf, whose terms are all positive
+NORMAL_P = """case when abs(z) > 8 then 0.0 when z = 0 then 1.0
+  else 1 - list_sum(list_transform(range(0, 300), lambda n:
+         exp((2 * n + 1) * ln(abs(z) / sqrt(2.0)) - z * z / 2 - lgamma(n + 1.5)))) end"""
+
+
+def rank_tests(source: str, keys: str, inside: str, out: str = "tested") -> str:
+    """CTEs ending in ``out``: rank_stats with z and p.
+
+    p is the normal one unless both sides have fewer than 50 rows; then every subset of the
+    size of the inner side is weighed (fewer than 50 rows occur on the smallest tables only).
+    """
+    same = " and ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    mine = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return f"""
+{out}_stats as (select *, {Z} as z from ({rank_stats(source, keys, inside)})),
+{out}_small as (
+  select {mine}, cast(2 * rank() over (partition by {mine} order by a.value) + t - 1 as bigint) as r2,
+         row_number() over (partition by {mine}) as i, hit
+  from (select *, {inside} as hit, count(*) over (partition by {keys}, value) as t from {source}) a
+  join {out}_stats b on {same} where b.n_in < 50 and b.n_out < 50),
+{out}_subset as (
+  select distinct {keys}, 0::bigint as i, 0::bigint as k, 0::bigint as s from {out}_small
+  union all
+  select {mine}, a.i + 1, a.k + o.b, a.s + o.b * b.r2 from {out}_subset a
+  join {out}_small b on {same} and b.i = a.i + 1, (values (0), (1)) as o(b)),
+{out}_sums as (
+  select {keys}, count(*) as n, sum(r2) as total, sum(case when hit then r2 else 0 end) as seen,
+         sum(case when hit then 1 else 0 end) as m from {out}_small group by {keys}),
+{out}_exact as (
+  select {mine}, avg(case when abs(a.s - m * total / n) >= abs(seen - m * total / n) - 1e-6
+                          then 1.0 else 0.0 end) as p
+  from {out}_subset a join {out}_sums b on {same} where a.i = b.n and a.k = b.m group by {mine}),
+{out} as (
+  select a.*, coalesce(b.p, {NORMAL_P}) as pval from {out}_stats a left join {out}_exact b on {same})"""
+
+
+TESTS = "tests as (select t.sample_id, t.feature, t.value, t.grp as own, g.grp as grp from tall t, (select distinct grp from meta) g)"
+TEST_MEANS = """
+means as (
+  select feature, grp, avg(case when own = grp then value end) as mean_in,
+         avg(case when own <> grp then value end) as mean_out from tests group by feature, grp)"""
+TEST_COLUMNS = "u auc tie_term z pval mean_in mean_out mean_diff"
+TEST_BODY = """select feature, grp, n_in, n_out, u, u / (cast(n_in as double) * n_out) as auc,
+  tie_term, z, pval, mean_in, mean_out, mean_in - mean_out as mean_diff
+  from tested join means using (feature, grp) where n_in >= 2 and n_out >= 2"""
+STEP_UP = """
+ranked as (select *, count(*) over () * pval
+                     / count(*) over (order by pval range between unbounded preceding and current row) as q from {source}),
+adjusted as (select *, least(1.0, min(q) over (order by pval desc
+                              range between unbounded preceding and current row)) as padj from ranked)"""
+QUERIES["statistical_markers"] = sql(
+    CLONES, QC, META, PROPS, SPEC, FEATURES, TESTS, rank_tests("tests", "feature, grp", "own = grp"),
+    TEST_MEANS, f"kept as ({TEST_BODY})", STEP_UP.format(source="kept"),
+    keys="feature grp n_in n_out significant", doubles=TEST_COLUMNS + " padj",
+    body="select *, padj < 0.05 as significant from adjusted")
 QUERIES["rank_test"] = sql(
-    CLONES, QC, META, PROPS, SPEC, FEATURES,
-    "tests as (select t.sample_id, t.feature, t.value, t.grp as own, g.grp as grp from tall t, (select distinct grp from meta) g)",
-    f"""stats as ({rank_stats('tests', 'feature, grp', 'own = grp')})""",
-    keys="feature grp n_in n_out", doubles="u auc z mean_in mean_out mean_diff",
-    body=f"""select s.feature, s.grp, n_in, n_out, u, u / (cast(n_in as double) * n_out) as auc, {Z} as z,
-      mean_in, mean_out, mean_in - mean_out as mean_diff from stats s join
-      (select feature, grp, avg(case when own = grp then value end) as mean_in,
-              avg(case when own <> grp then value end) as mean_out from tests group by feature, grp) m
-      on s.feature = m.feature and s.grp = m.grp""")
+    CLONES, QC, META, PROPS, SPEC, FEATURES, TESTS, rank_tests("tests", "feature, grp", "own = grp"),
+    TEST_MEANS, keys="feature grp n_in n_out",
+    doubles="u auc z pval mean_in mean_out mean_diff", body=TEST_BODY)
 
 
 def fisher(source: str, a: str, b: str, c: str, d: str, key: str) -> str:
@@ -650,11 +700,11 @@ QUERIES["motif_by_group"] = sql(
                           f"sum(case when grp = 'control' then {has(m)} else 0 end) as b from qc" for m in MOTIFS)})""")
 QUERIES["expansion"] = sql(
     CLONES, QC, "rows_in as (select 1 as test, grp, cnt as value from qc)",
-    f"stats as ({rank_stats('rows_in', 'test', chr(103) + 'rp = ' + repr('case'))})",
-    keys="n_in n_out", doubles="case_mean control_mean u auc tie_term z",
-    body=f"""select n_in, n_out, u, u / (cast(n_in as double) * n_out) as auc, tie_term, {Z} as z,
+    rank_tests("rows_in", "test", "grp = 'case'"),
+    keys="n_in n_out", doubles="case_mean control_mean u auc tie_term z pval",
+    body="""select n_in, n_out, u, u / (cast(n_in as double) * n_out) as auc, tie_term, z, pval,
       (select avg(ln(1 + cnt)) from qc where grp = 'case') as case_mean,
-      (select avg(ln(1 + cnt)) from qc where grp = 'control') as control_mean from stats""")
+      (select avg(ln(1 + cnt)) from qc where grp = 'control') as control_mean from tested""")
 VECTORED = """
 vectored as (
   select q.*, e.label, round(cast(e.embedding[1] as double), 9) as axis1, round(cast(e.embedding[2] as double), 9) as axis2
@@ -685,7 +735,7 @@ QUERIES["axis_auc"] = sql(
            then 'population-level' else 'sequence-level signal' end as conclusion from stats""")
 QUERIES["centroid_shift"] = sql(
     CLONES, QC, VECTORED, "axis_rows as (select 'axis2' as axis, grp, axis2 as value from vectored)",
-    f"stats as ({rank_stats('axis_rows', 'axis', 'grp = ' + repr('case'))})",
+    rank_tests("axis_rows", "axis", "grp = 'case'"),
     """knots as (
   select value, max(rn) - 1 as last_at, min(rn) - 1 as first_at from
     (select value, row_number() over (order by value) as rn from axis_rows where grp = 'case') group by value),
@@ -696,10 +746,10 @@ placed as (
               else s.last_at + (s.next_at - s.last_at) * (k.value - s.value) / (s.next_value - s.value) end
          / ((select count(*) from axis_rows where grp = 'case') - 1) as f
   from (select value from axis_rows where grp = 'control') k asof left join steps s on k.value >= s.value)""",
-    keys="axis n_in n_out", doubles="shift overlap u auc tie_term z",
-    body=f"""select axis, n_in, n_out, u, u / (cast(n_in as double) * n_out) as auc, tie_term, {Z} as z,
+    keys="axis n_in n_out", doubles="shift overlap u auc tie_term z pval",
+    body="""select axis, n_in, n_out, u, u / (cast(n_in as double) * n_out) as auc, tie_term, z, pval,
       abs((select avg(value) from axis_rows where grp = 'case') - (select avg(value) from axis_rows where grp = 'control')) as shift,
-      (select avg(least(f, 1 - f)) from placed) as overlap from stats""")
+      (select avg(least(f, 1 - f)) from placed) as overlap from tested""")
 QUERIES["modified_axis"] = sql(
     CLONES, PROPS, keys="name",
     doubles="native_charge modified_charge native_hydro modified_hydro delta_charge delta_hydro",
@@ -717,9 +767,11 @@ _profile = {
 QUERIES["property_comparison"] = sql(
     CLONES, QC, "prop_rows as (" + " union all ".join(
         f"select '{n}' as feature, grp, round(cast({e} as double), 9) as value from qc" for n, e in _profile.items()) + ")",
-    f"stats as ({rank_stats('prop_rows', 'feature', 'grp = ' + repr('case'))})",
-    keys="feature n_in n_out", doubles="u auc z",
-    body=f"select feature, n_in, n_out, u, u / (cast(n_in as double) * n_out) as auc, {Z} as z from stats")
+    rank_tests("prop_rows", "feature", "grp = 'case'"),
+    keys="feature n_in n_out stars", doubles="u auc z pval",
+    body="""select feature, n_in, n_out, u, u / (cast(n_in as double) * n_out) as auc, z, pval,
+      case when pval < 0.001 then '***' when pval < 0.01 then '**' when pval < 0.05 then '*'
+           else 'ns' end as stars from tested""")
 
 # ---- metrics ---------------------------------------------------------------------------------
 
