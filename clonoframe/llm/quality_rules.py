@@ -190,9 +190,12 @@ def ablation(rows: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES) ->
 
 
 def filtered(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
-    """Documents the policy keeps, with their columns as they came."""
-    marked = ledger(docs.withColumns({f"_in_{m}": F.col(m) for m in MEASURES if m in docs.columns}))
-    back = [
-        F.col(f"_in_{c}").alias(c) if c in MEASURES else F.col(c) for c in docs.columns
-    ]
-    return marked.where(passes(POLICIES[policy])).select(*back)
+    """Documents the policy keeps, with their columns as they came.
+
+    The row number, which Spark must not evaluate elsewhere, keeps the filter above the ledger:
+    pushed below, it would repeat the measuring expressions once per use.
+    """
+    held = docs.withColumns({f"_in_{m}": F.col(m) for m in MEASURES if m in docs.columns})
+    marked = ledger(held).withColumn("_row", F.monotonically_increasing_id())
+    back = [F.col(f"_in_{c}").alias(c) if c in MEASURES else F.col(c) for c in docs.columns]
+    return marked.where(passes(POLICIES[policy]) & (F.col("_row") >= 0)).select(*back)
