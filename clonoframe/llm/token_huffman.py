@@ -20,11 +20,16 @@ long document makes a block of its own.
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +48,8 @@ from clonoframe.llm.shared import (
 LIMIT = 18  # longest code in bits; more where the vocabulary needs it
 INTERVAL = 128  # ids between checkpoints
 BLOCK = 1 << 17  # ids in a block, at least, but for the last
-CACHE = 250_000  # words remembered per worker
+#: Characters encoded together; words and runs of words remembered per worker.
+CHUNK, WORD_CACHE, RUN_CACHE = 1 << 22, 400_000, 500_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> bytes:
@@ -53,11 +59,19 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> bytes:
         return file.read()
 
 
+#: Where words of Latin letters may be cut: contractions, runs of letters, digits, other runs.
+RUN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:\W|_)+")
+#: From here on characters may combine with those before them; below, only U+0130 becomes two.
+_BEYOND_LATIN = "\u0250"
+_PROBE = "It's  a\n\nProbe,\n 2 words' ends!' Été"
+
+
 class WordTokenizer:
-    """Encodes texts word by word with a tokenizers model, remembering words.
+    """Encodes texts with a tokenizers model, remembering words and runs inside words.
 
-    Holds for models whose pieces never span a space or line end and that drop both, which is
-    checked once on a probe: then a text's ids are its words' ids one after the other.
+    Holds for models whose pieces never span a space or line end and that drop both; then a
+    text's ids are its words' ids one after the other. Models that also ignore case and split
+    words as ``RUN`` does need far fewer distinct strings. Each property is checked on a probe.
     """
 
     def __init__(self, definition: bytes) -> None:
@@ -65,28 +79,74 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_buffer(definition)
-        self.known: dict[str, bytes] = {}
-        probe = "It's  a\n\nprobe,\n 2 words' ends. Été"
-        apart = [i for w in probe.split() for i in self._ids(w)]
-        if apart != self._ids(probe):
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        whole = self._ids(_PROBE)
+        if [i for w in _PROBE.split() for i in self._ids(w)] != whole:
             raise ValueError("this tokenizer's pieces depend on the space between words")
+        self.any_case = self._ids(_PROBE.lower()) == whole
+        self.by_runs = [i for w in _PROBE.split() for r in RUN.findall(w) for i in self._ids(r)] == whole
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of whole texts."""
-        out = []
-        for a, b in chunks(texts):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[a:b]]
-            if len(self.known) > CACHE:
-                self.known.clear()
-            fresh = list(set().union(*split).difference(self.known))
-            for word, got in zip(
-                fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False), strict=True
-            ):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-            out += [b"".join(map(self.known.__getitem__, s)) for s in split]
+    def _parts(self, word: str) -> list[str]:
+        """Runs of a word that encode independently; the word itself where that is not sure."""
+        plain = word.isascii() or (max(word) < _BEYOND_LATIN and "\u0130" not in word)
+        special = any(x in word for x in self.special)
+        if not (self.by_runs and plain) or special or word.split() != [word]:
+            return [word]
+        return RUN.findall(word)
+
+    def _lowered(self, texts: pa.Array) -> pa.Array:
+        """A-Z in lower case, but for texts where that would make a special token."""
+        low = pc.ascii_lower(texts)
+        for token in self.special:
+            low = pc.if_else(pc.match_substring(low, token.lower()), texts, low)
+        return low
+
+    def _distinct(self, words: list[str]) -> list[bytes]:
+        """Id bytes of a chunk's distinct words; only runs never met are encoded."""
+        ids = list(map(self.words.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        parts = [self._parts(words[i]) for i in missing]
+        if len(self.runs) > RUN_CACHE:
+            self.runs.clear()
+        fresh = list(set().union(*parts).difference(self.runs))
+        for run, got in zip(
+            fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False), strict=True
+        ):
+            self.runs[run] = array("I", got.ids).tobytes()
+        if len(self.words) > WORD_CACHE:
+            self.words.clear()
+        for i, own in zip(missing, parts, strict=True):
+            ids[i] = self.words[words[i]] = b"".join(map(self.runs.__getitem__, own))
+        return ids
+
+    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """Ids (uint32) of whole texts."""
+        out: list[np.ndarray] = []
+        collect = gc.isenabled()
+        gc.disable()  # the many small lists below hold no cycles
+        try:
+            for a, b in chunks(texts, CHUNK):
+                column = pa.array([t or "" for t in texts[a:b]], pa.large_string())
+                column = self._lowered(column) if self.any_case else column
+                split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+                coded = split.flatten().dictionary_encode()
+                ids = self._distinct(coded.dictionary.to_pylist())
+                at = coded.indices.to_numpy()
+                size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                begin = (np.cumsum(size) - size)[at]
+                n = size[at]
+                ends = np.concatenate(([0], np.cumsum(n)))
+                take = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)
+                pool = np.frombuffer(b"".join(ids), "<u4")
+                out += np.split(pool[take], ends[split.offsets.to_numpy()][1:-1])
+        finally:
+            if collect:
+                gc.enable()
         return out
 
 
@@ -102,9 +162,9 @@ def _tokenizer(definition: Broadcast[bytes]) -> WordTokenizer:
     return _tokenizers[key]
 
 
-def _pack(ids: bytes) -> bytes:
+def _pack(ids: np.ndarray) -> bytes:
     """Compressed uint32 ids, bytes of equal significance together."""
-    return zstandard.compress(np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(np.frombuffer(ids.astype("<u4").tobytes(), np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -113,20 +173,21 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, definition: bytes, end_id: int) -> DataFrame:
-    """(doc_id, ids): packed ids of each whole text with the end id; null ids held."""
+    """(doc_id, n, ids): packed ids of each whole text with the end id; null doc_ids held."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = _tokenizer(shared)
         for batch in batches:
             doc_ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
-            for a, b in chunks(texts):
-                packed = [_pack(i + end) for i in tokenizer.encode(texts[a:b])]
-                yield pd.DataFrame({"doc_id": doc_ids[a:b], "ids": packed})
+            for a, b in chunks(texts, CHUNK):
+                ids = [np.append(i, np.uint32(end_id)) for i in tokenizer.encode(texts[a:b])]
+                yield pd.DataFrame(
+                    {"doc_id": doc_ids[a:b], "n": [len(i) for i in ids], "ids": list(map(_pack, ids))}
+                )
 
     rows = docs.select(held_id().alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id long, ids binary")
+    return rows.mapInPandas(run, "doc_id long, n long, ids binary")
 
 
 def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,19 +195,19 @@ def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shard, start = None, 0
     for batch in batches:
         starts = []
-        for own, data in zip(batch["shard"].tolist(), batch["ids"], strict=True):
+        for own, n in zip(batch["shard"].tolist(), batch["n"].tolist(), strict=True):
             if own != shard:
                 shard, start = own, 0
             starts.append(start)
-            start += len(_unpack(data))
+            start += n
         yield batch.assign(start=starts)
 
 
 def in_order(tokens: DataFrame, parts: int, ranges: Column) -> DataFrame:
-    """Staged (shard, start, doc_id, ids): shards are ascending id ranges, sorted inside."""
+    """Staged (shard, start, doc_id, n, ids): shards are ascending id ranges, sorted inside."""
     dealt = tokens.withColumn("shard", ranges).repartitionById(parts, F.col("shard"))
     rows = dealt.sortWithinPartitions("shard", "doc_id", "ids")
-    return staged(rows.mapInPandas(_numbered, "doc_id long, ids binary, shard int, start long"))
+    return staged(rows.mapInPandas(_numbered, "doc_id long, n long, ids binary, shard int, start long"))
 
 
 def counted(tokens: DataFrame) -> dict[int, int]:
