@@ -115,7 +115,15 @@ def scanned(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataF
         )
         return pairs
 
-    paired = fit.select("doc_id", F.transform("units", bag).alias("units"))
+    # at most 1 - ratio of a matching unit's bigrams are foreign, so its first ones tell: a look
+    # into a constant set ends nearly all units before they are numbered and compared
+    known = sorted({b.rpartition(" ")[0] for row in rows for b in row[1:]})
+
+    def familiar(p: Column) -> Column:
+        first = F.floor(F.size(p) * (1 - ratio)).cast("int") + 1
+        return F.exists(F.slice(p, 1, first), lambda g: g.isin(known))
+
+    paired = fit.select("doc_id", F.filter(F.transform("units", bag), familiar).alias("units"))
     number = F.expr(
         "transform(units, p -> transform(p, (g, i) ->"
         " concat(g, ' ', size(filter(slice(p, 1, i), x -> x = g)))))"
