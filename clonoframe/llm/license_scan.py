@@ -17,8 +17,8 @@ results; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,10 +66,16 @@ def bigrams(template: str) -> list[str]:
     return [f"{a} {b} {pairs[:i].count((a, b))}" for i, (a, b) in enumerate(pairs)]
 
 
-def _bounds(n: int, least: float) -> tuple[float, float]:
+def _ratio(least: float) -> tuple[int, int]:
+    """least / (2 - least) as a fraction of whole numbers, so no bound is lost to rounding."""
+    whole = Fraction(str(least))
+    return (whole / (2 - whole)).as_integer_ratio()
+
+
+def _bounds(n: int, least: float) -> tuple[int, int]:
     """Sizes of a set that can reach ``least`` with one of n bigrams."""
-    ratio = least / (2 - least)
-    return n * ratio, n / ratio
+    a, b = _ratio(least)
+    return -(-n * a // b), n * b // a
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -86,7 +92,7 @@ def scanned(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataF
     )
     low = min(_bounds(len(row) - 1, least)[0] for row in rows)
     high = max(_bounds(len(row) - 1, least)[1] for row in rows)
-    ratio = least / (2 - least)
+    num, den = _ratio(least)
     plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _NOT_WORD, " ")
     # a text of one paragraph, or paragraphs of one line, give the same unit twice: once is enough
     texts = docs.select("doc_id", F.split(plain, "\n").alias("lines"), F.split(plain, r"\n ?\n[ \n]*").alias("blocks"))
@@ -99,12 +105,12 @@ def scanned(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataF
     # the spaces of a unit bound its words from above, so most units end here, unsplit
     spaced = F.filter(
         "units",
-        lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) >= math.ceil(low),
+        lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) >= low,
     )
     fit = units.select(
         "doc_id",
         F.filter(
-            F.transform(spaced, words), lambda w: (F.size(w) - 1).between(math.ceil(low), math.floor(high))
+            F.transform(spaced, words), lambda w: (F.size(w) - 1).between(low, high)
         ).alias("units"),
     )
 
@@ -115,12 +121,13 @@ def scanned(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataF
         )
         return pairs
 
-    # at most 1 - ratio of a matching unit's bigrams are foreign, so its first ones tell: a look
+    # at most 1 - num / den of a matching unit's bigrams are foreign, so its first ones tell: a look
     # into a constant set ends nearly all units before they are numbered and compared
     known = sorted({b.rpartition(" ")[0] for row in rows for b in row[1:]})
 
     def familiar(p: Column) -> Column:
-        first = F.floor(F.size(p) * (1 - ratio)).cast("int") + 1
+        foreign = F.size(p) * (den - num)
+        first = ((foreign - foreign % den) / den).cast("int") + 1
         return F.exists(F.slice(p, 1, first), lambda g: g.isin(known))
 
     paired = fit.select("doc_id", F.filter(F.transform("units", bag), familiar).alias("units"))
@@ -134,7 +141,7 @@ def scanned(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataF
         """Highest Dice of the templates whose size allows it; of equals the first license."""
         near = F.filter(
             fixed,
-            lambda t: (F.size(t["grams"]) >= F.size(own) * ratio) & (F.size(t["grams"]) * ratio <= F.size(own)),
+            lambda t: (F.size(t["grams"]) * den >= F.size(own) * num) & (F.size(t["grams"]) * num <= F.size(own) * den),
         )
         scored = F.transform(
             near,
