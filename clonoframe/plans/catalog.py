@@ -708,9 +708,6 @@ def _(spark, d):
 
 # ---- learnt operators: compared by invariants in the tests --------------------------------------
 
-FOREST = 100
-
-
 @query("motif_pc1")
 def _(spark, d):
     from clonoframe.operators.reduction import kmer_component
@@ -744,7 +741,6 @@ def _(spark, d):
     vectors = panels.as_vectors(star.embeddings(spark, d)).select("vec_id", "_v")
     return panels.saturation(
         vectors, "vec_id", target=0.3, fractions=[0.25, 0.5, 1.0], candidates=[5, 10, 20, 40],
-        n_init=1, max_iter=20,
     )
 
 
@@ -753,7 +749,7 @@ def learnt_counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, li
     from clonoframe.operators import panels
 
     vectors = panels.as_vectors(star.embeddings(spark, d))
-    model, _ = panels.train_panel(vectors, 40, n_init=1, max_iter=20)
+    model, _ = panels.train_panel(vectors, 40)
     assigned = model.transform(vectors).select("vec_id", F.col("prototype").cast("long"))
     counts = prototypes.sample_prototype_counts(
         with_vectors(qc(spark, d), spark, d), assigned, "vec_id"
@@ -840,9 +836,7 @@ def member(name: str, method: str) -> None:
         from clonoframe.operators import models
 
         rows, classes, used = training_rows(spark, d)
-        return models.cross_validate(rows, classes, used, method, n_trees=FOREST, n_rounds=20)[
-            "predictions"
-        ]
+        return models.cross_validate(rows, classes, used, method)["predictions"]
 
 
 member("classify_lr", "logistic")
@@ -863,7 +857,7 @@ def _(spark, d):
     from clonoframe.operators import models
 
     rows, classes, used = training_rows(spark, d)
-    return models.tuned_regularized(rows, classes, used, "lasso", lambdas=(0.1, 0.01))["weights"]
+    return models.tuned_regularized(rows, classes, used, "lasso")["weights"]
 
 
 @query("classify_ensemble")
@@ -871,9 +865,7 @@ def _(spark, d):
     from clonoframe.operators import models
 
     rows, classes, used = training_rows(spark, d)
-    return models.classify_ensemble(
-        rows, classes, used, ("logistic", "lasso", "tree"), voting="soft"
-    )[0]
+    return models.classify_ensemble(rows, classes, used, voting="soft")[0]
 
 
 @query("cv_metrics")
@@ -905,7 +897,7 @@ def _(spark, d):
     rows = antigen_dataset(
         clones.filter(F.col("group") == "case"), clones.filter(F.col("group") == "control")
     )
-    return benchmark_sequences("case", rows, n_trees=FOREST)["summary"]
+    return benchmark_sequences("case", rows)["summary"]
 
 
 @query("sequence_map")
