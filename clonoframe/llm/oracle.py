@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from clonoframe.llm import chat_windows, license_scan, mixing, near_dedup, quality_rules
+from clonoframe.llm import (
+    chat_windows,
+    license_scan,
+    mixing,
+    near_dedup,
+    quality_rules,
+    source_divergence,
+)
 from clonoframe.llm.queries import PROBE
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -226,10 +233,155 @@ select doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_
 from reach left join sizes using (doc_id) group by doc_id"""
 
 
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII string, bit by bit."""
+    return (
+        f"xor(4294967295, list_reduce(range(0, 8 * length({text})), lambda c, j: case when"
+        f" xor(c, case when j % 8 = 0 then ascii({text}[j // 8 + 1]) else 0 end) % 2 = 1 then"
+        f" xor(xor(c, case when j % 8 = 0 then ascii({text}[j // 8 + 1]) else 0 end) // 2, 3988292384)"
+        f" else xor(c, case when j % 8 = 0 then ascii({text}[j // 8 + 1]) else 0 end) // 2 end,"
+        " 4294967295::bigint))"
+    )
+
+
+def _op11() -> str:
+    # grammar states 0 to 3: nothing yet, after system, after user, after assistant. A state's best
+    # repair of the rest is one string: its cost in nine digits, then its audit.
+    called = (2, 2, 3, 2)
+
+    def plus(edit: str, cost: str, rest: str) -> str:
+        return f"lpad(({rest}[1:9]::bigint + {cost})::varchar, 9, '0') || '{edit}' || {rest}[10:]"
+
+    kept = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}
+    direct, inserted = [], []
+    for q in range(4):
+        keep = " ".join(f"when '{i}' then {plus('K', 'extra', f'b{to}')}" for i, to in kept[q])
+        options = [
+            plus("D", "4", f"b{q}"),
+            f"case when not gone then {plus('R', '3 + extra', f'b{called[q]}')} end",
+            f"case when not gone then case initial {keep} end end",
+        ]
+        direct.append(f"least({', '.join(options)}) as d{q}")
+        inserted.append(plus("I", "3", "{}" + str(called[q])))
+    # three rounds of insertions are more than any best repair has in one place
+    rounds, old = [], "d"
+    for new in ("e", "f", "g"):
+        cols = ", ".join(f"least({old}{q}, {inserted[q].replace('{}', old)}) as {new}{q}" for q in range(4))
+        rounds.append(f"lateral (select {cols})")
+        old = new
+    gone = "fault in ('blank', 'duplicate')"
+    return rf"""
+with recursive raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         {_crc32("k")} % 20 as kind
+  from (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k
+        from conversations)
+), damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g')
+              else text end as text
+  from raw, range(2) as c(copy) where kind <> 0 and (copy = 0 or kind = 3)
+), t as (
+  select *, row_number() over w as i, count(*) over (partition by conv_id) as n, role[1] as initial,
+         lag(role[1]) over w || role[1] not in ('su', 'ua', 'au') as illegal,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') as shown
+  from damaged window w as (partition by conv_id order by turn nulls first, role, text)
+), f as (
+  select *, case when not regexp_matches(text, '{WORD}') then 'blank'
+                 when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+                 when not regexp_matches(shown[-1], '[.!?]') then 'truncated' end as fault
+  from t
+), g as (
+  select *, coalesce({gone}, false) as gone, case when fault = 'truncated' then 3 else 0 end as extra from f
+), walk as (
+  select conv_id, n + 1 as i, '000000000' as b0, '000000006II' as b1, '000000003I' as b2, '000000000' as b3
+  from (select distinct conv_id, n from g)
+  union all
+  select x.conv_id, x.i, g0, g1, g2, g3
+  from (select g.conv_id, g.i, {", ".join(direct)}
+        from walk join g on g.conv_id is not distinct from walk.conv_id and g.i = walk.i - 1) as x,
+       {", ".join(rounds)}
+), best as (
+  select conv_id, b0[1:9]::bigint as cost, b0[10:] as audit from walk where i = 1
+), letters as (
+  select conv_id, audit, j, audit[j] as edit,
+         length(replace(audit[1:j], 'I', '')) as i, length(replace(audit[1:j], 'D', '')) as place
+  from (select *, unnest(range(1, length(audit) + 1)) as j from best)
+), placed as (
+  select l.*, g.role, g.text,
+         bool_or(l.place = 1 and edit = 'K' and initial = 's') over (partition by l.conv_id) as has_system
+  from letters as l left join g on g.conv_id is not distinct from l.conv_id and g.i = l.i and l.edit <> 'I'
+  where edit <> 'D'
+), out as (
+  select conv_id, sha256(string_agg(
+    case edit when 'K' then role else case when (place - has_system::int) % 2 = 1 then 'user' else 'assistant' end end
+    || ':' || case edit when 'I' then '' else text end, chr(10) order by j)) as repaired_sha256
+  from placed group by conv_id
+), facts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated, count(*) filter (illegal) as illegal
+  from g group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank,
+       coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit,
+       coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) as o
+left join facts on facts.conv_id is not distinct from o.conv_id
+left join best on best.conv_id is not distinct from o.conv_id
+left join out on out.conv_id is not distinct from o.conv_id"""
+
+
+def _op13() -> str:
+    d = source_divergence
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def share(n: str, size: str) -> str:
+        return f"1 + {d.SCALE} * ({n} + 1)::hugeint // ({size})"
+
+    return rf"""
+with words as (
+  select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), counts as (
+  select rid, lang, source, term, count(*) as n
+  from (select rid, lang, source, unnest(w) as term from words) group by all
+), kept as (
+  select lang, term, sum(n) as n from counts group by lang, term having count(*) >= {d.MIN_DOCS}
+), groups as (select distinct lang, source from words), langs as (
+  select lang, count(*) as v, sum(n) as total from kept group by lang
+), found as (
+  select lang, source, term, sum(counts.n) as n from counts semi join kept using (lang, term) group by all
+), sizes as (select lang, source, sum(n) as total from found group by all), cells as (
+  select g.lang, g.source, k.term, coalesce(f.n, 0) as n,
+         {share("coalesce(f.n, 0)", "coalesce(s.total, 0) + v")} as p, {share("k.n", "langs.total + v")} as q
+  from groups as g join kept as k using (lang) join langs using (lang)
+  left join found as f on f.lang = g.lang and f.source = g.source and f.term = k.term
+  left join sizes as s on s.lang = g.lang and s.source = g.source
+), pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from cells as a join cells as b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+  group by all
+), part as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups as a join groups as b on a.lang = b.lang and a.source <> b.source
+  left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from cells where n > 0 and p > q
+)
+select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from part qualify part = 'pair' or rank <= {d.TOP}"""
+
+
 QUERIES: dict[str, str] = {
     "op1_chat_formatting": _op1(),
     "op2_license_scan": _op2(),
     "op7_mixing": _op7(),
     "op8_quality_rules": _op8(),
     "op9_minhash_near_dedup": _op9(),
+    "op11_structure_repair": _op11(),
+    "op13_source_divergence": _op13(),
 }

@@ -20,6 +20,8 @@ from clonoframe.llm import (
     quality_gam,
     quality_rules,
     quartile_digest,
+    source_divergence,
+    structure_repair,
     token_huffman,
     unigram_tokens,
 )
@@ -184,6 +186,25 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("doc_id", freed_id())
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    cases, repaired = structure_repair.repair(structure_repair.damaged(turns))
+    ids = turns.select(held_id("conv_id").alias("conv_id")).distinct()
+    rows = ids.join(cases, "conv_id", "left").join(structure_repair.digests(repaired), "conv_id", "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    nothing = hashlib.sha256().hexdigest()
+    return rows.select(
+        freed_id("conv_id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scan": op2_license_scan,
@@ -195,4 +216,6 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_unigram_pieces": op10_unigram_pieces,
+    "op11_structure_repair": op11_structure_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
