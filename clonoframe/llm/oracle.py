@@ -9,6 +9,7 @@ from clonoframe.llm import (
     near_dedup,
     quality_rules,
     source_divergence,
+    substring_graph,
 )
 from clonoframe.llm.queries import PROBE
 
@@ -333,6 +334,30 @@ left join best on best.conv_id is not distinct from o.conv_id
 left join out on out.conv_id is not distinct from o.conv_id"""
 
 
+def _op12() -> str:
+    k = substring_graph.K
+    return rf"""
+with d as (
+  select doc_id, row_number() over () as rid, regexp_extract_all(coalesce(text, ''), '{WORD}') as w
+  from documents
+), windows as (
+  select rid, doc_id, i, md5(array_to_string(w[i:i + {k - 1}], ' ')) as g
+  from (select rid, doc_id, w, unnest(range(1, len(w) - {k - 2})) as i from d)
+), repeats as (
+  select rid, i from (select *, min(doc_id) over (partition by g) as first from windows) where first < doc_id
+), gone as (
+  select distinct rid, i + o as i from repeats, range({k}) as r(o)
+), words as (
+  select rid, i, w[i] as word from (select rid, w, unnest(range(1, len(w) + 1)) as i from d)
+), kept as (
+  select rid, count(*) as n, string_agg(word, ' ' order by i) as said
+  from words anti join gone using (rid, i) group by rid
+)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed,
+       sha256(coalesce(said, '')) as kept_sha256
+from d left join kept using (rid)"""
+
+
 def _op13() -> str:
     d = source_divergence
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -383,5 +408,6 @@ QUERIES: dict[str, str] = {
     "op8_quality_rules": _op8(),
     "op9_minhash_near_dedup": _op9(),
     "op11_structure_repair": _op11(),
+    "op12_substring_dedup": _op12(),
     "op13_source_divergence": _op13(),
 }

@@ -22,6 +22,7 @@ from clonoframe.llm import (
     quartile_digest,
     source_divergence,
     structure_repair,
+    substring_graph,
     token_huffman,
     unigram_tokens,
 )
@@ -201,6 +202,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = substring_graph.deduplicated(docs)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -217,5 +224,6 @@ QUERIES: dict[str, Query] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_unigram_pieces": op10_unigram_pieces,
     "op11_structure_repair": op11_structure_repair,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
