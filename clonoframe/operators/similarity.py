@@ -1,10 +1,15 @@
-"""Similarity network: pairs of distinct sequences one edit apart."""
+"""Similarity network: pairs of distinct sequences a few edits apart, degrees and components."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonoframe.session import cut_lineage
+
+#: Members of a deletion bucket that meet in one task; larger buckets are split.
+BLOCK = 1000
+
 
 def _with_positions(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("seq")))).withColumn(
@@ -48,6 +53,103 @@ def edit_network(sequences: DataFrame, column: str = "cdr3_aa") -> DataFrame:
     return substituted.unionByName(shifted)
 
 
+def deletion_index(seqs: DataFrame, distance: int) -> DataFrame:
+    """(seq, variant, cuts): what is left of a sequence after up to ``distance`` deletions.
+
+    Each variant is listed once per sequence, with the fewest deletions that give it. One round
+    of deletions cuts at or behind the last cut, so a choice of positions is made once.
+    """
+    made = seqs.select("seq", F.col("seq").alias("variant"), F.lit(1).alias("_from"), F.lit(0).alias("cuts"))
+    every = made
+    for _ in range(distance):
+        made = made.withColumn("_at", F.explode(F.expr("sequence(_from, greatest(length(variant), _from))"))).select(
+            "seq",
+            F.expr("concat(substring(variant, 1, _at - 1), substring(variant, _at + 1))").alias("variant"),
+            F.col("_at").alias("_from"),
+            (F.col("cuts") + 1).alias("cuts"),
+            F.length("variant").alias("_before"),
+        )
+        made = made.where(F.length("variant") < F.col("_before")).drop("_before")
+        every = every.unionByName(made)
+    return every.groupBy("seq", "variant").agg(F.min("cuts").alias("cuts"))
+
+
+def edit_pairs(sequences: DataFrame, column: str = "cdr3_aa", distance: int = 2) -> DataFrame:
+    """(left_seq, right_seq, distance) of distinct sequences up to ``distance`` edits apart.
+
+    Two such sequences share a variant after at most ``distance`` deletions each, so they meet
+    in a bucket of the deletion index. Each meeting is verified by the banded edit distance,
+    which stops at the bound. A bucket is never gathered: its members are numbered by a hash into
+    blocks of about ``BLOCK``, a member waits in its own block and visits every block, so hot
+    variants (those of very short sequences) are spread over tasks. Empty and null sequences
+    are left out.
+    """
+    seqs = sequences.select(F.col(column).alias("seq")).filter(F.length("seq") > 0).distinct()
+    index = cut_lineage(deletion_index(seqs, distance))
+    sizes = index.groupBy("variant").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    members = index.join(sizes, "variant").withColumn("_blocks", F.expr(f"1 + _n div {BLOCK}"))
+    waiting = members.select(
+        "variant", F.pmod(F.xxhash64("seq"), F.col("_blocks")).alias("_block"),
+        F.col("seq").alias("right_seq"), F.col("cuts").alias("_right_cuts"),
+    )
+    visiting = members.select(
+        "variant", F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("_block"),
+        F.col("seq").alias("left_seq"), F.col("cuts").alias("_left_cuts"),
+    )
+    met = visiting.join(waiting, ["variant", "_block"]).where("left_seq < right_seq")
+    # fewer edits than the difference in length are impossible, and lengths differ by the cuts
+    near = met.where(F.abs(F.length("left_seq") - F.length("right_seq")) <= distance)
+    pairs = near.select("left_seq", "right_seq").distinct()
+    apart = F.levenshtein("left_seq", "right_seq", distance)
+    return pairs.withColumn("distance", apart).where(F.col("distance").between(1, distance))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("left_seq").alias("seq")).unionAll(edges.select("right_seq"))
     return ends.groupBy("seq").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(seq, component): the smallest sequence reachable, for every sequence with an edge.
+
+    Alternating star rounds: every node hands its larger (then its smaller) neighbours to its
+    smallest one, which ends with each component a star. The number of rounds grows with the
+    logarithm of the network, each round is an aggregate and a join on checkpointed edges, and
+    only two numbers a round reach the driver.
+    """
+    pairs = cut_lineage(
+        edges.select(F.greatest("left_seq", "right_seq").alias("u"), F.least("left_seq", "right_seq").alias("v"))
+        .where("u != v")
+        .distinct()
+    )
+    state = None
+    while True:
+        # large star: nodes above u meet the least of u and its neighbours
+        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = large.distinct()
+        # small star: nodes below u, and u itself, meet the least of them
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        met = pairs.join(least, "u")
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        pairs = cut_lineage(small.where("u != v").distinct())
+        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    stars = pairs.select(F.col("u").alias("seq"), F.col("v").alias("component"))
+    return stars.unionAll(pairs.select(F.col("v").alias("seq"), F.col("v").alias("component")).distinct())
+
+
+def network_nodes(sequences: DataFrame, column: str = "cdr3_aa", distance: int = 2) -> DataFrame:
+    """(seq, degree, component, component_size) of every distinct sequence, lone ones included."""
+    seqs = sequences.select(F.col(column).alias("seq")).filter(F.length("seq") > 0).distinct()
+    edges = cut_lineage(edit_pairs(sequences, column, distance))
+    placed = cut_lineage(
+        seqs.join(degrees(edges), "seq", "left")
+        .join(components(edges), "seq", "left")
+        .select("seq", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"), F.coalesce("component", "seq").alias("component"))
+    )
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("component_size"))
+    return placed.join(sizes, "component").select("seq", "degree", "component", "component_size")

@@ -453,6 +453,16 @@ def _(spark, d):
     return similarity.edit_network(raw(spark, d).select("cdr3_aa"))
 
 
+@query("network_pairs")
+def _(spark, d):
+    return similarity.edit_pairs(raw(spark, d).select("cdr3_aa"), distance=2)
+
+
+@query("network_nodes")
+def _(spark, d):
+    return similarity.network_nodes(raw(spark, d).select("cdr3_aa"), distance=2)
+
+
 # ---- tests -----------------------------------------------------------------------------------
 
 

@@ -509,6 +509,22 @@ QUERIES["network_edges"] = sql(
     body="""select a.seq as left_seq, b.seq as right_seq from seqs a join seqs b
       on a.seq < b.seq and abs(length(a.seq) - length(b.seq)) <= 1 and levenshtein(a.seq, b.seq) = 1""")
 
+NEAR = """near as (
+  select * from (select a.seq as left_seq, b.seq as right_seq, levenshtein(a.seq, b.seq) as distance
+    from seqs a join seqs b on a.seq < b.seq and abs(length(a.seq) - length(b.seq)) <= 2)
+  where distance <= 2)"""
+QUERIES["network_pairs"] = sql(
+    CLONES, "seqs as (select distinct cdr3_aa as seq from clones)", NEAR,
+    body="select left_seq, right_seq, cast(distance as int) as distance from near")
+QUERIES["network_nodes"] = sql(
+    CLONES, "seqs as (select distinct cdr3_aa as seq from clones)", NEAR,
+    "ends as (select left_seq as a, right_seq as b from near union all select right_seq, left_seq from near)",
+    """reach as (select seq, seq as other from seqs union
+      select reach.seq, ends.b from reach join ends on ends.a = reach.other)""",
+    "places as (select seq, min(other) as component from reach group by seq)",
+    body="""select p.seq, (select count(*) from ends where ends.a = p.seq) as degree, component,
+      count(*) over (partition by component) as component_size from places p""")
+
 # ---- tests -----------------------------------------------------------------------------------
 
 FEATURES = f"""
