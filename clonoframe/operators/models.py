@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -15,15 +15,14 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clonoframe.operators import metrics
+from clonoframe.operators import metrics, penalised
 from clonoframe.operators.features import drop_constant, fill_missing
 from clonoframe.operators.sampling import stratified_folds
 from clonoframe.session import cut_lineage, packed
@@ -256,19 +255,10 @@ def cross_validate(
             lines = [(int(fold), f, c) for _, f, c in coefficients(model, columns, classes)]
             weights.append(spark.createDataFrame(lines, "fold int, feature string, weight double"))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    predicted = packed(union(predictions), ROWS_PER_TASK)
-    out = {
-        "predictions": predicted,
-        "importance": union(tables).groupBy("feature").agg(F.avg("importance").alias("importance")),
-        "folds": fold_metrics(predicted, len(classes)),
-        "classes": metrics.class_metrics(predicted),
-    }
+    out = held_out_tables(packed(union(predictions), ROWS_PER_TASK), len(classes))
+    out["importance"] = union(tables).groupBy("feature").agg(F.avg("importance").alias("importance"))
     if weights:
         out["weights"] = union(weights)
-    if len(classes) == 2:
-        out["pooled"] = pooled_metrics(predicted)
-        out["roc"] = metrics.roc_points(predicted)
-        out["fold_roc"] = metrics.roc_points(predicted, ["fold"])
     return out
 
 
@@ -302,41 +292,49 @@ def pooled_metrics(predicted: DataFrame) -> DataFrame:
     return roc.join(pr, "_k").join(cells, "_k").drop("_k")
 
 
+def held_out_tables(predicted: DataFrame, n_classes: int) -> dict[str, DataFrame]:
+    """Per-fold, per-class and pooled metrics of held-out predictions."""
+    out = {
+        "predictions": predicted,
+        "folds": fold_metrics(predicted, n_classes),
+        "classes": metrics.class_metrics(predicted),
+    }
+    if n_classes == 2:
+        out["pooled"] = pooled_metrics(predicted)
+        out["roc"] = metrics.roc_points(predicted)
+        out["fold_roc"] = metrics.roc_points(predicted, ["fold"])
+    return out
+
+
 def tuned_regularized(
     rows: DataFrame, classes: Sequence[str], columns: Sequence[str], method: str = "lasso",
-    alpha: float = 0.5, n_folds: int = 5, lambdas: Sequence[float] = (0.3, 0.1, 0.03, 0.01, 0.003, 0.001),
-    seed: int = 42,
+    alpha: float = 0.5, n_folds: int = 5, n_lambda: int = 100,
+    lambdas: Sequence[float] | None = None, measure: str = "error", seed: int = 42,
 ) -> dict:
-    """Penalty chosen by held-out score; accuracy reported on held-out folds."""
+    """A path of penalties fitted on all rows and on every fold's training rows.
+
+    The penalty is the one of least held-out error (``measure='loss'``: deviance). The
+    curve over the path, the weights of the fit on all rows, and the metrics of the held-out
+    predictions at the chosen penalty are returned.
+    """
     mix = {"lasso": 1.0, "ridge": 0.0, "elasticnet": alpha}[method]
-    clf = LogisticRegression(featuresCol="z", labelCol="label", elasticNetParam=mix, maxIter=200, tol=1e-4)
-    scale = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True)
-    grid = ParamGridBuilder().addGrid(clf.regParam, list(lambdas)).build()
-    judge = (
-        BinaryClassificationEvaluator(labelCol="label")
-        if len(classes) == 2
-        else MulticlassClassificationEvaluator(labelCol="label", metricName="logLoss")
-    )
-    folds = stratified_folds(rows, n_folds, "subject_id", "label", seed)
-    folded = packed(folds.withColumn("fold", F.col("fold").cast("int")), ROWS_PER_TASK)
-    tuner = CrossValidator(
-        estimator=Pipeline(stages=[scale, clf]), estimatorParamMaps=grid, evaluator=judge,
-        numFolds=n_folds, foldCol="fold", parallelism=2,
-    )
-    best = tuner.fit(folded)
-    at = int(np.argmin(best.avgMetrics) if not judge.isLargerBetter() else np.argmax(best.avgMetrics))
-    chosen = float(lambdas[at])
-    held_out = cross_validate(
-        rows, classes, columns, method, n_folds, seed, reg=chosen, alpha=alpha
+    folded = stratified_folds(rows, n_folds, "subject_id", "label", seed)
+    data = packed(penalised.as_rows(folded), ROWS_PER_TASK)
+    path = penalised.Path(data, len(columns), len(classes), n_folds, mix, n_lambda, lambdas=lambdas)
+    step, spark = path.best_step(measure), rows.sparkSession
+    weights = path.weights(spark, columns, classes)
+    chosen = weights.filter(F.col("step") == step).groupBy("feature").agg(
+        F.sum(F.abs("weight")).alias("importance")
     )
-    model = best.bestModel.stages[-1]
-    weights = importances(model, columns, rows.sparkSession)
+    predicted = packed(path.predictions(data, step), ROWS_PER_TASK)
     return {
-        "lambda": chosen,
-        "model": best.bestModel,
-        "weights": weights,
-        "n_nonzero": weights.filter(F.col("importance") > 0).count(),
-        "held_out": held_out,
+        "lambda": float(path.lambdas[step]),
+        "path": path,
+        "curve": path.curve(spark),
+        "path_weights": weights,
+        "weights": chosen,
+        "n_nonzero": chosen.filter(F.col("importance") > 0).count(),
+        "held_out": held_out_tables(predicted, len(classes)),
     }
 
 

@@ -834,10 +834,13 @@ def _(spark, d):
     return tables["v_gene_enrichment"]
 
 
-def training_rows(spark: SparkSession, d: str):
+def training_rows(spark: SparkSession, d: str, target: str = "group"):
     from clonoframe.operators import models
 
-    return models.prepare(sample_features(spark, d), TESTED)
+    table = sample_features(spark, d)
+    if target not in table.columns:
+        table = table.join(qc(spark, d).select("sample_id", target).distinct(), "sample_id")
+    return models.prepare(table, TESTED, target)
 
 
 def member(name: str, method: str) -> None:
@@ -862,12 +865,20 @@ def _(spark, d):
     return models.classify(sample_features(spark, d), TESTED, "tree")[1]
 
 
-@query("classify_lasso")
-def _(spark, d):
-    from clonoframe.operators import models
+def regularized(name: str, method: str, table: str, classes: str = "group") -> None:
+    @query(name)
+    def _(spark, d):
+        from clonoframe.operators import models
 
-    rows, classes, used = training_rows(spark, d)
-    return models.tuned_regularized(rows, classes, used, "lasso")["weights"]
+        rows, labels, used = training_rows(spark, d, classes)
+        return models.tuned_regularized(rows, labels, used, method)[table]
+
+
+regularized("classify_lasso", "lasso", "weights")
+regularized("classify_ridge", "ridge", "weights")
+regularized("classify_elasticnet", "elasticnet", "weights")
+regularized("lasso_curve", "lasso", "curve")
+regularized("lasso_curve_groups", "lasso", "curve", "group4")
 
 
 @query("classify_ensemble")
