@@ -81,7 +81,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measurements of each whole text to its row.
 
     A window is packed as (hash << bits) | position, bits being just enough for the number of
-    words, so one ascending sort of longs brings equal windows together in text order.
+    words, so one ascending sort of longs brings equal windows together in text order. In very
+    long texts few hash bits are left, so the windows found are compared word by word after that.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     bare = F.translate(body, SPACES, "")
@@ -92,16 +93,17 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(bare).cast("long").alias("word_chars"),
         (F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
-        F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("_h"),
+        words(F.col(text)).alias("_words"),
     )
     sized = hashed.select(
-        *keep, "word_chars", "n_symbols", "_h",
+        *keep, "word_chars", "n_symbols", "_words",
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_h").cast("long").alias("n_words"),
-        F.length(F.bin(F.size("_h"))).alias("_bits"),
+        F.size("_words").cast("long").alias("n_words"),
+        F.length(F.bin(F.size("_words"))).alias("_bits"),
     )
-    plain = [*keep, "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_words", "_bits"]
+    plain = [*keep, "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_words", "_bits", "_words"]
     packed = sized.select(
         *plain,
         F.expr(
@@ -113,12 +115,20 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     ordered = packed.select(
         *plain, F.expr("sort_array(slice(_w, 1, greatest(size(_w) - 2, 0)))").alias("_w")
     )
-    repeated = ordered.select(
+    alike = ordered.select(
         *plain,
         F.expr(
             "sort_array(transform(filter(_w, (x, i) ->"
             " shiftright(x ^ get(_w, i + 1), _bits) = 0 or shiftright(x ^ get(_w, i - 1), _bits) = 0),"
-            " x -> cast(x & (shiftleft(1L, _bits) - 1) as int)))"
+            " x -> struct(array_join(slice(_words, cast(x & (shiftleft(1L, _bits) - 1) as int) + 1, 3), ' ') as w,"
+            "  cast(x & (shiftleft(1L, _bits) - 1) as int) as at)))"
+        ).alias("_w"),
+    )
+    repeated = alike.select(
+        *plain,
+        F.expr(
+            "sort_array(transform(filter(_w, (x, i) -> x.w = get(_w, i + 1).w or x.w = get(_w, i - 1).w),"
+            " x -> x.at))"
         ).alias("_at"),
     )
     # each repeated window covers three words, less what the one before it covers
