@@ -16,9 +16,13 @@
    comparison batch.
 6. Links become components by alternating large-star and small-star rounds on staged edges.
 
+Classes are numbered on their own, so what is linked are sets; ids come back at the end.
+
 Defined cases: null or wordless text has no shingles and is linked with nothing; fewer words
-than the shingle width make one shingle of the whole text; repeated rows with one id are one
-document with the union of their links; a null id keeps a null component and is kept; other
+than the shingle width make one shingle of the whole text; rows with one id are one document
+with the union of their links, in whatever order they come, and each has a result row; a null id
+is linked with nothing, keeps a null component and is kept; ``deduplicated`` keeps, of a kept id,
+one row per distinct set (the first by text) and every row without words once per text; other
 columns are ignored, or returned untouched by ``deduplicated``; empty tables give empty results.
 """
 
@@ -30,11 +34,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoframe.llm.hashing import chunks, min_hashes, mix, shingle_sets
-from clonoframe.llm.shared import staged
+from clonoframe.llm.shared import joined_evenly, staged
 
 WIDTH = 5
 THRESHOLD = 75  # per cent, compared in integers
@@ -63,17 +67,21 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, r])
             low = (mins * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
             yield pd.DataFrame(
-                {
-                    "doc_id": ids[a:b],
-                    "n": [len(s) for s in sets],
-                    "s1": _signed(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)),
-                    "s2": _signed(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)),
-                    "bands": list(_signed(key)),
-                    "sig": [row.tobytes() for row in low],
-                }
+                {"doc_id": ids[a:b]}
+                | _set_key(sets)
+                | {"bands": list(_signed(key)), "sig": [row.tobytes() for row in low]}
             )
 
 
+def _set_key(sets: list[np.ndarray]) -> dict[str, np.ndarray | list]:
+    """Size and order-free key of each set."""
+    return {
+        "n": [len(s) for s in sets],
+        "s1": _signed(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)),
+        "s2": _signed(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)),
+    }
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """One row per input row with a doc_id: set size, set key, band keys, signature bytes."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
@@ -129,8 +137,9 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
         for a, b in chunks(texts):
+            sets = shingle_sets(texts[a:b], WIDTH)
             yield pd.DataFrame(
-                {"id": ids[a:b], "hashes": [s.tobytes() for s in shingle_sets(texts[a:b], WIDTH)]}
+                {"doc_id": ids[a:b]} | _set_key(sets) | {"hashes": [s.tobytes() for s in sets]}
             )
 
 
@@ -144,12 +153,18 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
 
-def shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Staged (id, hashes): the full shingle sets of the given ids only."""
+def shingled(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Staged (id, hashes): the full shingle sets of the given classes (rep, doc_id, n, s1, s2).
+
+    A class is read from the texts of its smallest document; if that id has other texts too,
+    the set's key tells which one it is.
+    """
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(
-        ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"
+        reps.select("doc_id"), "doc_id", "left_semi"
     )
-    return staged(texts.mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"]))
+    sets = texts.mapInPandas(_sets, "doc_id long, n long, s1 long, s2 long, hashes binary")
+    found = sets.join(reps, ["doc_id", "n", "s1", "s2"])
+    return staged(found.select(F.col("rep").alias("id"), "hashes").dropDuplicates(["id"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -271,20 +286,25 @@ def _by_prefix(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows per document with its class representative, links between representatives)."""
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, n_shingles, rep; classes: rep, doc_id; links between reps), all staged.
+
+    ``rep`` numbers a class of equal sets, whose smallest id ``doc_id`` is; wordless rows have none.
+    """
     rows = staged(sketches(docs))
     worded = rows.where("n > 0")
     reps = staged(
         worded.groupBy("n", "s1", "s2").agg(
-            F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
-        )
-    )
+            F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
+            F.count("*").alias("copies"),
+        ).withColumn("rep", F.monotonically_increasing_id())
+    )
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     groups = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = staged(keyed.join(groups, "key"))
     members = members.select("key", "rep")
-    sets = shingled(docs, members.select("rep").distinct())
+    wanted = reps.select("rep", "doc_id", "n", "s1", "s2").join(members.select("rep").distinct(), "rep")
+    sets = shingled(docs, staged(wanted))
     tried = links = labels = None
     for number in range(ROUNDS):
         # each member seeks one other component: that of its bucket's leader
@@ -305,32 +325,83 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = _by_prefix(still.join(sets.withColumnRenamed("id", "rep"), "rep"))
     rest = screened(pairs.withColumn("seeker", F.col("b")), reps)
     rest = staged(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    links = links.unionAll(verified(rest, sets))
-    classes = rows.join(
-        worded.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), ["n", "s1", "s2"], "left"
-    ).select("doc_id", F.col("n").alias("n_shingles"), "rep")
-    return classes, links
+    links = links.unionAll(staged(verified(rest, sets)))
+    key = ["n", "s1", "s2"]
+    own = worded.select("doc_id", *key)
+    classed = joined_evenly(own, reps.select(*key, "rep", "copies"), key, "copies")
+    bare = rows.where("n = 0").withColumn("rep", F.lit(None).cast("long"))
+    every = staged(
+        classed.select("doc_id", F.col("n").alias("n_shingles"), "rep").unionAll(
+            bare.select("doc_id", F.col("n").alias("n_shingles"), "rep")
+        )
+    )
+    return every, reps.select("rep", "doc_id", "copies"), links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``."""
-    classes, links = linked(docs)
-    # an id met in several rows joins the classes of all its rows
+def _unkeyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = batch["text"].tolist()
+        for a, b in chunks(texts):
+            yield pd.DataFrame({"n_shingles": [len(s) for s in shingle_sets(texts[a:b], WIDTH)]})
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of the rows with an id."""
+    rows, classes, links = linked(docs)
+    # an id met with several sets joins their classes
+    ids = rows.groupBy("doc_id").agg(
+        F.min("rep").alias("a"), F.max("rep").alias("z"), F.count("*").alias("c"), F.count("rep").alias("worded")
+    )
+    several = staged(ids.where("c > 1 and (a <> z or worded between 1 and c - 1)"))
     same = (
-        classes.where("rep is not null and rep <> doc_id")
-        .join(classes.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1"), "doc_id")
-        .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        rows.where("rep is not null").join(several.select("doc_id", "a"), "doc_id")
+        .where("rep <> a").select("a", F.col("rep").alias("b"))
+    )
+    labels = components(links.unionAll(same))
+    placed = staged(
+        classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
+            "rep", "doc_id", "copies", F.coalesce("component", "rep").alias("component")
+        )
     )
-    labels = components(links.unionAll(same)).withColumnRenamed("id", "rep")
-    found = classes.join(labels, "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = staged(placed.join(least, "component").select("rep", "component_id", "copies"))
+    worded = joined_evenly(rows.where("rep is not null"), named, ["rep"], "copies")
+    # a wordless row shares the component of the other rows of its id, if there are any
+    besides = several.where("worded > 0").join(named, several["a"] == named["rep"]).select("doc_id", "component_id")
+    bare = rows.where("rep is null").join(besides, "doc_id", "left")
+    columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
+    return worded.select(*columns).unionAll(bare.select(*columns))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``."""
+    found = _identified(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    none = docs.where("doc_id is null").select("text").mapInPandas(_unkeyed, "n_shingles long")
+    null = F.lit(None).cast("long")
+    return found.unionByName(
+        none.select(null.alias("doc_id"), "n_shingles", null.alias("component_id"), F.lit(True).alias("kept"))
     )
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _key_of(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(_set_key(shingle_sets(text.tolist(), WIDTH)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group: the smallest id, and one row of a repeated id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionAll(kept.where("doc_id is null"))
+    """The rows of one document of each group: its smallest id. See the defined cases for its rows."""
+    marked = staged(_identified(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    gone = marked.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    twice = marked.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("c"))
+    twice = staged(twice.where("c > 1").drop("c"))
+    own = F.col("doc_id").cast("long") == F.col("_id")
+    kept = docs.join(gone, own, "left_anti")
+    once = kept.join(twice, own, "left_anti")
+    # rows of a repeated id: one per set, the first by text
+    key = F.pandas_udf(_key_of, "n long, s1 long, s2 long")(F.coalesce("text", F.lit("")))
+    many = kept.join(twice, own, "left_semi").withColumn("_key", key)
+    of = F.when(F.col("_key.n") > 0, F.struct("_key.s1", "_key.s2", "_key.n", F.lit("").alias("t"))).otherwise(
+        F.struct("_key.s1", "_key.s2", "_key.n", F.coalesce("text", F.lit("")).alias("t"))
+    )
+    first = Window.partitionBy("doc_id", of).orderBy("text")
+    many = many.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_key", "_row")
+    return once.unionByName(many)

@@ -55,6 +55,24 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: A key is hot when it holds more than this share of the rows; so there are at most as many.
+HOT_SHARE = 64
+
+
+def joined_evenly(big: DataFrame, small: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``big`` with one row per key, where a few keys may hold most of the rows.
+
+    ``small`` says in ``count`` how many rows of ``big`` a key has. Fewer than ``HOT_SHARE`` keys can
+    exceed their share; those are broadcast, so their rows stay where they are, and only the
+    others are shuffled. Both sides should be staged, as they are read twice.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_SHARE > total
+    some, rest = small.where(hot).drop(count), small.where(~hot).drop(count)
+    cold = big.join(F.broadcast(some.select(*keys)), keys, "left_anti")
+    return big.join(F.broadcast(some), keys).unionByName(cold.join(rest, keys))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

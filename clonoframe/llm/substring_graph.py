@@ -16,9 +16,9 @@ of a window stays; every later document loses the words of that window.
    a 128-bit BLAKE2b digest of their words; the smallest document of each digest is found by an
    aggregate and joined back. Rolling hashes thus only propose; words decide.
 
-Groups are never gathered: hot minimizers and digests meet in partial aggregates, and joins of
-many occurrences with one row are left to adaptive skew handling. A document's own spans are
-one array.
+Groups are never gathered: hot minimizers and digests meet in partial aggregates, the few digests
+that hold a large share of all places are broadcast with their first document, and joins by
+minimizer are left to adaptive skew handling. A document's own spans are one array.
 
 Defined cases: null text has no words; fewer than ``K`` words make no window; windows repeated
 inside one document, or in documents of one id, remove nothing; a null id takes and loses
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonoframe.llm.hashing import chunks, mix, word_hashes
-from clonoframe.llm.shared import freed_id, held_id, staged
+from clonoframe.llm.shared import freed_id, held_id, joined_evenly, staged
 
 K = 50  # words of a window
 M = 25  # words of a minimizer
@@ -211,9 +211,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     columns = [F.col(f"places.{c}").alias(c) for c in ("start", "n", "branch", "joined")]
     texts = _keyed(docs).join(places, ["doc_id", "key"]).select("doc_id", "key", "text", *columns)
     named = staged(texts.mapInPandas(_named, "doc_id long, key long, start int, n int, name binary"))
-    firsts = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    firsts = firsts.where("first < last").drop("last")
-    return staged(named.join(firsts, "name").where("first < doc_id").drop("name"))
+    firsts = named.groupBy("name").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("places")
+    )
+    firsts = staged(firsts.where("first < last").drop("last"))
+    found = joined_evenly(named, firsts, ["name"], "places")
+    return staged(found.where("first < doc_id").drop("name"))
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
