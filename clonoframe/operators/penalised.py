@@ -23,6 +23,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonoframe.operators.passes import added
+
 BLOCK = 10  # penalties that advance together, fewer when their sums exceed CELLS numbers
 CELLS = 1 << 21
 PASSES = 60  # over the rows, per block, at most
@@ -37,19 +39,7 @@ def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _added(rows: DataFrame, sums) -> np.ndarray:
-    """Sum over all tasks of the flat vectors ``sums(x, label, fold)`` of their batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                part = sums(*_read(batch))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
-
-    parts = rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"]))
-    return parts.treeReduce(np.add)
+    return added(rows, lambda batch: sums(*_read(batch)))
 
 
 @dataclass

@@ -881,6 +881,21 @@ regularized("lasso_curve", "lasso", "curve")
 regularized("lasso_curve_groups", "lasso", "curve", "group4")
 
 
+def learnt_table(name: str, fit: str, table: str, classes: str = "group") -> None:
+    @query(name)
+    def _(spark, d):
+        from clonoframe.operators import models
+
+        rows, labels, used = training_rows(spark, d, classes)
+        return getattr(models, fit)(rows, labels, used)[table]
+
+
+learnt_table("forest_votes", "forest", "predictions")
+learnt_table("forest_importance", "forest", "importance")
+learnt_table("boosting_curve", "boosted", "curve")
+learnt_table("boosting_groups", "boosted", "predictions", "group4")
+
+
 @query("classify_ensemble")
 def _(spark, d):
     from clonoframe.operators import models
