@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonoframe import schema as S
 from clonoframe.functions.sequence import col
-from clonoframe.session import partitions
-
-BUCKET_ROWS = 50_000
+from clonoframe.operators import sampling
 
 
 def passes_qc(
@@ -98,68 +94,20 @@ def main_chain(clones: DataFrame) -> DataFrame:
     return clones.join(F.broadcast(top), "chain", "left_semi")
 
 
-def _seed(*parts) -> np.random.Generator:
-    text = "\x1f".join(str(p) for p in parts)
-    words = pd.util.hash_array(np.array([text, text[::-1]], dtype=object))
-    return np.random.default_rng(words)
-
-
 def rarefy(clones: DataFrame, target_reads: int = 1000, seed: int = 0) -> DataFrame:
     """Draw ``target_reads`` reads per sample without replacement.
 
     Samples below the target are dropped; records drawn zero times stay with count 0.
-    Identical records are one record. Records are spread over hash buckets of bounded
-    size; the draw is split between a sample's buckets first (multivariate
-    hypergeometric over bucket totals) and then inside every bucket, which gives exactly
-    the law of one draw over the whole sample without expanding reads or gathering the
-    sample.
+    Identical records are one record. Every read has a number hashed from its record, and the
+    least numbers of a sample are drawn (``sampling.draw_copies``), the same way whatever its size.
     """
     fields = [c for c in clones.columns if c not in ("count", "freq")]
     merged = clones.groupBy(*fields).agg(F.sum("count").cast("long").alias("count"))
-    sizes = merged.groupBy("sample_id").agg(
-        F.sum("count").alias("_reads"), F.count(F.lit(1)).alias("_rows")
-    )
-    kept = sizes.filter(F.col("_reads") >= target_reads)
-    spread = merged.join(kept, "sample_id").withColumn(
-        "_bucket",
-        F.pmod(F.xxhash64(*fields), F.greatest(F.lit(1), F.ceil(F.col("_rows") / BUCKET_ROWS))),
-    )
-    several = F.col("_rows") > BUCKET_ROWS
-    totals = (
-        spread.filter(several)
-        .groupBy("sample_id", "_bucket")
-        .agg(F.sum("count").alias("_total"))
-    )
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_bucket")
-        rng = _seed(seed, pdf["sample_id"].iloc[0])
-        drawn = rng.multivariate_hypergeometric(
-            pdf["_total"].to_numpy(np.int64), target_reads, method="marginals"
-        )
-        return pd.DataFrame(
-            {"sample_id": pdf["sample_id"], "_bucket": pdf["_bucket"], "_quota": drawn}
-        )
-
-    quotas = totals.groupBy("sample_id").applyInPandas(
-        split, "sample_id string, _bucket long, _quota long"
-    )
-    whole = spread.filter(~several).withColumn("_quota", F.lit(target_reads).cast("long"))
-    split_up = spread.filter(several).join(quotas, ["sample_id", "_bucket"])
-    plan = (
-        whole.unionByName(split_up)
-        .drop("_reads", "_rows")
-        .repartition(partitions(clones.sparkSession), "sample_id", "_bucket")
-    )
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(fields).reset_index(drop=True)
-        rng = _seed(seed, pdf["sample_id"].iloc[0], pdf["_bucket"].iloc[0])
-        pdf["count"] = rng.multivariate_hypergeometric(
-            pdf["count"].to_numpy(np.int64), int(pdf["_quota"].iloc[0]), method="marginals"
-        )
-        return pdf[[*fields, "count"]]
-
-    shape = merged.select(*fields, "count").schema
-    drawn = plan.groupBy("sample_id", "_bucket").applyInPandas(draw, shape)
-    return drawn.withColumn("freq", F.col("count") / F.lit(float(target_reads)))
+    sizes = merged.groupBy("sample_id").agg(F.sum("count").alias("_reads"))
+    large = sizes.filter(F.col("_reads") >= target_reads).select("sample_id")
+    kept = merged.join(large, "sample_id")
+    drawn = sampling.draw_copies(kept, ["sample_id"], "count", target_reads, fields, seed)
+    # records without a drawn read stay, with count 0
+    zero = kept.select(*fields, F.lit(0).cast("long").alias("drawn"))
+    both = drawn.select(*fields, "drawn").unionAll(zero).groupBy(*fields).agg(F.sum("drawn").alias("count"))
+    return both.withColumn("freq", F.col("count") / F.lit(float(target_reads)))

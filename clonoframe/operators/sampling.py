@@ -55,6 +55,52 @@ def sample_fraction(df: DataFrame, fraction: float, identity: Sequence[str], see
     return df.filter(unit_hash(*identity, seed=seed) < fraction)
 
 
+#: Numbers that order copies are whole and below this, so other engines can repeat them.
+SPAN = 1 << 52
+#: Copies of one record numbered in one row.
+COPIES = 4096
+
+
+def record_key(identity: Sequence[str], seed: int) -> Column:
+    """The text a record's numbers are hashed from; nulls are empty."""
+    return F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity])
+
+
+def _hex(start: int, of: str) -> str:
+    return f"cast(conv(substr({of}, {start}, 13), 16, 10) as bigint)"
+
+
+def _blocks(df: DataFrame, count: str) -> DataFrame:
+    """One row per ``COPIES`` copies of a record, with the copies' numbers from 0 in ``_copies``."""
+    return df.withColumn("_block", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {COPIES})"))).withColumn(
+        "_copies", F.expr(f"sequence(_block * {COPIES}, least({count} - 1, _block * {COPIES} + {COPIES - 1}))")
+    )
+
+
+def draw_copies(df: DataFrame, by: Sequence[str], count: str, k: int, identity: Sequence[str], seed: int) -> DataFrame:
+    """How many of a record's ``count`` copies are among the k least-numbered of their group.
+
+    A draw without replacement: each copy's number is the md5 of record and copy. Copies are
+    numbered where their record stands, and all but about k per group are dropped in the same
+    expression by a threshold from the group's size, so neither copies nor a group are ever
+    gathered. Records without a drawn copy are left out; ``identity`` names a record and holds ``by``.
+    """
+    positive = df.where(F.col(count) > 0).withColumn("_key", record_key(identity, seed))
+    sizes = positive.groupBy(*by).agg(F.sum(count).alias("_all"))
+    limit = (keep_share(k, F.col("_all")) * SPAN).cast("long")
+    placed = _blocks(positive.join(sizes.select(*by, limit.alias("_limit")), list(by)), count)
+    number = _hex(1, "md5(concat_ws('|', _key, c))")
+    alive = placed.select(
+        *identity, "_key",
+        F.expr(
+            f"inline(filter(transform(_copies, c -> named_struct('_u', {number}, '_copy', c)), x -> x._u < _limit))"
+        ),
+    )
+    order = W.partitionBy(*by).orderBy("_u", "_key", "_copy")
+    drawn = alive.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    return drawn.groupBy(*identity).agg(F.count(F.lit(1)).alias("drawn"))
+
+
 def pseudo_samples(
     pool: DataFrame,
     n_samples: int = 50,
@@ -64,27 +110,32 @@ def pseudo_samples(
 ) -> DataFrame:
     """Draw ``per_sample`` pool rows per group, ``n_samples`` times.
 
-    Rows carry ``group``. Every copy of a pool row gets its own number per draw and is
-    dropped inside the same generated loop unless it meets the threshold, so about
-    n_samples x per_sample rows per group are shuffled.
+    Rows carry ``group``. Each copy of a pool row has two md5 numbers h1, h2; its place in draw r
+    is (h1 + r h2) mod ``SPAN``, and a draw takes the least places. One row stands for all draws
+    until the draws that pass a threshold from the group's size are picked out of it, so the pool is
+    read and hashed once and about n_samples x per_sample rows per group are shuffled.
     """
     # copies of a pool row are separate draws: number them without gathering the pool
-    counted = pool.groupBy("group", *identity).agg(F.count(F.lit(1)).alias("_copies"))
-    sizes = counted.groupBy("group").agg(F.sum("_copies").alias("_rows"))
-    base = counted.join(sizes, "group").withColumn(
-        "_share", keep_share(per_sample, F.col("_rows"))
-    ).withColumn("_id", F.xxhash64(*identity))
-    # copies are numbered in blocks, so one row never holds a long sequence
-    draws = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    blocks = draws.withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr("(_copies - 1) div 4096"))))
-    last = F.least(F.col("_copies") - 1, F.col("_block") * 4096 + 4095)
-    copies = F.explode(F.sequence(F.col("_block") * 4096, last)).alias("_copy")
-    rows = blocks.select("group", "draw", *identity, "_id", "_share", copies)
-    ordered = rows.withColumn("_u", unit_hash("_id", "draw", "_copy", seed=seed)).filter(
-        F.col("_u") < F.col("_share")
+    counted = pool.groupBy("group", *identity).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.withColumn("_key", record_key(["group", *identity], seed))
+    sizes = counted.groupBy("group").agg(F.sum("_n").alias("_rows"))
+    limit = (keep_share(per_sample, F.col("_rows")) * SPAN).cast("long").alias("_limit")
+    blocks = _blocks(counted.join(sizes.select("group", limit), "group"), "_n")
+    copies = blocks.withColumn("_copy", F.explode("_copies")).withColumn(
+        "_md5", F.md5(F.concat_ws("|", "_key", F.col("_copy").cast("string")))
+    )
+    numbered = copies.select(
+        "group", *identity, "_key", "_copy", "_limit", F.expr(_hex(1, "_md5")).alias("_h1"), F.expr(_hex(14, "_md5")).alias("_h2")
     )
-    spot = W.partitionBy("group", "draw").orderBy("_u", *identity, "_copy")
-    kept = ordered.withColumn("_rank", F.row_number().over(spot)).filter(
+    rows = numbered.select(
+        "group", *identity, "_key", "_copy",
+        F.expr(
+            f"inline(filter(transform(sequence(0, {n_samples - 1}), r -> named_struct('draw', r,"
+            f" '_u', (_h1 + r * _h2) % {SPAN}L)), x -> x._u < _limit))"
+        ),
+    )
+    spot = W.partitionBy("group", "draw").orderBy("_u", "_key", "_copy")
+    kept = rows.withColumn("_rank", F.row_number().over(spot)).filter(
         F.col("_rank") <= per_sample
     )
     return kept.select(

@@ -166,13 +166,10 @@ def _(spark, d):
 
 @query("rarefy")
 def _(spark, d):
-    drawn = quality.rarefy(
+    return quality.rarefy(
         qc(spark, d).select("sample_id", "group", "cdr3_aa", "v_gene", "j_gene", "chain", "count"),
         target_reads=1000,
     )
-    return drawn.groupBy("sample_id").agg(
-        F.sum("count").alias("reads"), F.round(F.sum("freq"), 6).alias("mass")
-    )
 
 
 # ---- scalars ------------------------------------------------------------------------------

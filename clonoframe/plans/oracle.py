@@ -124,9 +124,35 @@ QUERIES["chain_select"] = sql(CLONES, QC, body="""
 select sample_id, cast(sum(cnt) as bigint) as reads from qc
 where chain = (select chain from qc group by chain order by count(*) desc, chain limit 1)
 group by sample_id""")
-QUERIES["rarefy"] = sql(CLONES, QC, body="""
-select sample_id, cast(1000 as bigint) as reads, cast(1.0 as double) as mass from qc
-group by sample_id having sum(cnt) >= 1000""")
+QUERIES["rarefy"] = sql(
+    CLONES, QC,
+    """merged as (
+  select sample_id, grp, cdr3_aa, v_gene, j_gene, chain, cast(sum(cnt) as bigint) as n,
+         concat_ws('|', '0', sample_id, grp, cdr3_aa, v_gene, j_gene, chain) as k
+  from qc
+  where sample_id in (select sample_id from qc group by sample_id having sum(cnt) >= 1000)
+  group by sample_id, grp, cdr3_aa, v_gene, j_gene, chain)""",
+    """reads as (
+  select sample_id, k, c, ('0x' || substr(md5(k || '|' || c), 1, 13))::bigint as u
+  from (select *, unnest(range(n)) as c from merged))""",
+    """drawn as (
+  select k, count(*) as n from
+    (select k, row_number() over (partition by sample_id order by u, k, c) as r from reads)
+  where r <= 1000 group by k)""",
+    body="""select sample_id, grp, cdr3_aa, v_gene, j_gene, chain, coalesce(drawn.n, 0) as cnt,
+      coalesce(drawn.n, 0) / 1000.0::double as freq from merged left join drawn using (k)""")
+QUERIES["pseudo_samples"] = sql(
+    CLONES, QC,
+    """copies as (
+  select *, md5(k || '|' || c) as h from (
+    select grp, cdr3_aa, v_gene, concat_ws('|', '42', grp, cdr3_aa, v_gene) as k, unnest(range(count(*))) as c
+    from qc group by grp, cdr3_aa, v_gene))""",
+    f"""drawn as (
+  select *, row_number() over (partition by grp, draw order by u, k, c) as r from (
+    select *, (('0x' || substr(h, 1, 13))::bigint + draw * ('0x' || substr(h, 14, 13))::bigint) % {1 << 52} as u
+    from copies, range(50) as draws(draw)))""",
+    body="""select grp || '_' || draw as sample_id, grp, cdr3_aa, v_gene, '?' as j_gene, 'TRB' as chain,
+      cast(1 as bigint) as cnt from drawn where r <= 500""")
 
 # ---- scalars ------------------------------------------------------------------------------
 
