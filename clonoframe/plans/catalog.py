@@ -527,7 +527,7 @@ def _(spark, d):
     rows = domains.axis_correlation(
         axes(spark, d), ["axis1", "axis2"], ["net_charge", "hydrophobicity", "aromatic_frac", "length"]
     )
-    return rows.select("axis", "property", "n", "rho")
+    return rows.select("axis", "property", "n", "rho", "pval")
 
 
 @query("axis_auc")
@@ -636,10 +636,7 @@ def _(spark, d):
 @query("prototype_markers")
 def _(spark, d):
     counts = panel_counts(spark, d)
-    return markers.prototype_markers(counts, labels(spark, d), panel_ids(spark, d)).select(
-        "prototype", "log_fc", "case_mean", "control_mean", "expressed_frac", "tested", "auc",
-        "effect_size",
-    )
+    return markers.prototype_markers(counts, labels(spark, d), panel_ids(spark, d))
 
 
 @query("prototype_markers_fdr")

@@ -759,13 +759,22 @@ def _rank(c: str) -> str:
     return f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as r_{c}"
 
 
+# two-sided t test of a correlation: finite sums over half the degrees of freedom
+CORRELATION_P = """
+  case when abs(rho) >= 1 then 0.0 when (n - 2) % 2 = 0 then
+    1 - abs(rho) * (select sum(exp(lgamma(k + 0.5) - lgamma(k + 1.0) - ln(pi()) / 2 + k * ln(1 - rho * rho)))
+                    from range((n - 2) // 2) as t(k))
+  else 1 - 2 / pi() * (asin(abs(rho)) + abs(rho) * coalesce((
+    select sum(exp(lgamma(k + 1.0) - lgamma(k + 1.5) + ln(pi()) / 2 - ln(2.0) + (k + 0.5) * ln(1 - rho * rho)))
+    from range((n - 3) // 2) as t(k)), 0)) end"""
 QUERIES["axis_corr"] = sql(
     CLONES, QC, PROPS, VECTORED, CLASSES.format(source="vectored"),
     f"ranks as (select {', '.join(_rank(c) for c in _axes + _props)} from mapped)",
-    keys="axis property n", doubles="rho",
-    body=" union all ".join(
+    "pairs as (" + " union all ".join(
         f"select '{a}' as axis, '{p}' as property, count(*) as n, corr(r_{a}, r_{p}) as rho from ranks"
-        for a in _axes for p in _props))
+        for a in _axes for p in _props) + ")",
+    keys="axis property n", doubles="rho pval",
+    body=f"select axis, property, n, rho, {CORRELATION_P} as pval from pairs")
 _axis_rows = "axis_rows as (" + " union all ".join(
     f"select '{a}' as axis, grp, {a} as value from vectored" for a in _axes) + ")"
 QUERIES["axis_auc"] = sql(
@@ -925,18 +934,25 @@ dense as (
   left join pcounts p on p.sample_id = m.sample_id and p.prototype = l.prototype)"""
 QUERIES["prototype_markers"] = sql(
     CLONES, QC, META, PROTO, DENSE,
-    f"stats as ({rank_stats('dense', 'prototype', 'grp = ' + repr('case'))})",
+    rank_tests("dense", "prototype", "grp = 'case'"),
     """levels as (
   select prototype, avg(case when grp = 'case' then cast(value as double) end) as case_mean,
          avg(case when grp = 'control' then cast(value as double) end) as control_mean,
          avg(case when value > 0 then 1.0 else 0.0 end) as expressed_frac from dense group by prototype)""",
-    keys="prototype tested", doubles="log_fc case_mean control_mean expressed_frac auc effect_size",
-    body="""select prototype, expressed_frac >= 0.05 as tested,
+    "kept as (select tested.* from tested join levels using (prototype) where expressed_frac >= 0.05)",
+    STEP_UP.format(source="kept"),
+    keys="prototype tested significant direction",
+    doubles="log_fc case_mean control_mean expressed_frac auc pval fdr effect_size neg_log10_fdr",
+    body="""select *, fdr < 0.05 and abs(auc - 0.5) > 0.1 as significant, -log10(greatest(fdr, 1e-300)) as neg_log10_fdr,
+      case when auc > 0.6 and fdr < 0.05 then 'up' when auc < 0.4 and fdr < 0.05 then 'down' else 'ns' end as direction
+      from (select prototype, expressed_frac >= 0.05 as tested,
+      coalesce(pval, 1.0) as pval, coalesce(padj, 1.0) as fdr,
       log2(case when case_mean = 0 then 1e-6 else case_mean end / case when control_mean = 0 then 1e-6 else control_mean end) as log_fc,
       case_mean, control_mean, expressed_frac,
       case when expressed_frac >= 0.05 then u / (cast(n_in as double) * n_out) else 0 end as auc,
       case when expressed_frac >= 0.05 then abs(u / (cast(n_in as double) * n_out) - 0.5) * 2 else 0 end as effect_size
-      from levels join stats using (prototype)""")
+      from levels left join adjusted using (prototype))""")
+QUERIES["prototype_markers_fdr"] = QUERIES["prototype_markers"]
 ENRICH = "log2((case_count / (ta + 1.0) + {e}) / (control_count / (tb + 1.0) + {e})) as log2_enrichment"
 QUERIES["gene_enrichment"] = sql(
     CLONES, QC, PROTO, keys="gene case_count control_count", doubles="log2_enrichment",
