@@ -776,14 +776,13 @@ def _(spark, d):
 
 @query("svm_axis")
 def _(spark, d):
-    from clonoframe.operators import models, reduction
+    from clonoframe.operators import margin, reduction
     from clonoframe.plans import tier2
 
     counts, known, ids = learnt_counts(spark, d)
     vectors = tier2.labelled_vectors(counts, known)
-    rows = tier2.model_rows(vectors, ids)
-    model = models.estimator("svm", n_rows=rows.count()).fit(rows)
-    return reduction.disease_axis(vectors, ids, model.coefficients.toArray(), model.intercept)
+    weights = margin.MarginFit(vectors.withColumn("fold", F.lit(0)), ids).weights[0]
+    return reduction.disease_axis(vectors, ids, weights[:-1], weights[-1])
 
 
 @query("pls_lda")
@@ -801,11 +800,13 @@ def _(spark, d):
 
 @query("svm_weights")
 def _(spark, d):
+    from clonoframe.operators import margin
     from clonoframe.plans import tier2
 
     counts, known, ids = learnt_counts(spark, d)
-    cv = tier2.classify_samples(tier2.labelled_vectors(counts, known), ids, "svm")
-    weights = cv["weights"].select("fold", F.col("feature").cast("long").alias("prototype"), "weight")
+    vectors = tier2.labelled_vectors(counts, known)
+    folded = cut_lineage(sampling.stratified_folds(vectors, 5, "sample_id", "label"))
+    weights = margin.MarginFit(folded, ids, n_folds=5).table().where("fold >= 0")
     return prototypes.weight_ranking(weights)
 
 
@@ -859,12 +860,12 @@ def _(spark, d):
     return models.classify(sample_features(spark, d), TESTED, "tree")[1]
 
 
-def regularized(name: str, method: str, table: str, classes: str = "group") -> None:
+def regularized(name: str, method: str, table: str, *target: str) -> None:
     @query(name)
     def _(spark, d):
         from clonoframe.operators import models
 
-        rows, labels, used = training_rows(spark, d, classes)
+        rows, labels, used = training_rows(spark, d, *target)
         return models.tuned_regularized(rows, labels, used, method)[table]
 
 
@@ -875,12 +876,12 @@ regularized("lasso_curve", "lasso", "curve")
 regularized("lasso_curve_groups", "lasso", "curve", "group4")
 
 
-def learnt_table(name: str, fit: str, table: str, classes: str = "group") -> None:
+def learnt_table(name: str, fit: str, table: str, *target: str) -> None:
     @query(name)
     def _(spark, d):
         from clonoframe.operators import models
 
-        rows, labels, used = training_rows(spark, d, classes)
+        rows, labels, used = training_rows(spark, d, *target)
         return getattr(models, fit)(rows, labels, used)[table]
 
 
