@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clonoframe.operators.running import running_totals
+
 HASH_SPAN = 2.0**63
 
 
@@ -154,9 +156,10 @@ def stratified_folds(
     """Fold number per subject, balanced within each label; rows of a subject stay together.
 
     A subject's fold is its position among the hashed subjects of the same label, so every
-    label is spread evenly. Subjects, one row each, are what is ranked.
+    label is spread evenly. Positions are running counts over ranges of the hash, so a label of
+    many subjects is ranked by many tasks.
     """
     subjects = rows.groupBy(key).agg(F.min(label).alias("_label"))
-    spot = W.partitionBy("_label").orderBy(F.xxhash64(key, F.lit(seed)), key)
-    folds = subjects.select(key, ((F.row_number().over(spot) - 1) % n_folds).alias("fold"))
-    return rows.join(folds, key)
+    hashed = subjects.select(key, "_label", F.xxhash64(key, F.lit(seed)).alias("_h"), F.lit(1).alias("_one"))
+    placed = running_totals(hashed, ["_label"], "_h", {"_at": "_one"})
+    return rows.join(placed.select(key, ((F.col("_at") - 1) % n_folds).cast("int").alias("fold")), key)
