@@ -48,7 +48,7 @@ MISS = 1e-6
 ROUNDS = 2  # of leader pairs, before the remaining pairs are looked at
 SKETCH_CELLS = 1 << 18  # of the frequency sketch that orders shingles
 
-SKETCH = "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"
+SKETCH = "doc_id long, text_key long, n long, s1 long, s2 long, bands array<long>, sig binary"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -57,7 +57,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+        ids, keys, texts = batch["doc_id"].to_numpy(), batch["text_key"].to_numpy(), batch["text"].tolist()
         for a, b in chunks(texts):
             sets = shingle_sets(texts[a:b], WIDTH)
             mins = min_hashes(sets, BANDS * ROWS)
@@ -67,7 +67,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, r])
             low = (mins * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
             yield pd.DataFrame(
-                {"doc_id": ids[a:b]}
+                {"doc_id": ids[a:b], "text_key": keys[a:b]}
                 | _set_key(sets)
                 | {"bands": list(_signed(key)), "sig": [row.tobytes() for row in low]}
             )
@@ -84,8 +84,11 @@ def _set_key(sets: list[np.ndarray]) -> dict[str, np.ndarray | list]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """One row per input row with a doc_id: set size, set key, band keys, signature bytes."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInPandas(_sketches, SKETCH)
+    return _keyed(docs).where("doc_id is not null").mapInPandas(_sketches, SKETCH)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
 
 
 @lru_cache
@@ -135,11 +138,10 @@ def screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+        ids, texts = batch["rep"].to_numpy(), batch["text"].tolist()
         for a, b in chunks(texts):
-            sets = shingle_sets(texts[a:b], WIDTH)
             yield pd.DataFrame(
-                {"doc_id": ids[a:b]} | _set_key(sets) | {"hashes": [s.tobytes() for s in sets]}
+                {"id": ids[a:b], "hashes": [s.tobytes() for s in shingle_sets(texts[a:b], WIDTH)]}
             )
 
 
@@ -154,17 +156,13 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def shingled(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Staged (id, hashes): the full shingle sets of the given classes (rep, doc_id, n, s1, s2).
+    """Staged (id, hashes): the full shingle sets of the given classes (rep, doc_id, text_key).
 
-    A class is read from the texts of its smallest document; if that id has other texts too,
-    the set's key tells which one it is.
+    A class is read from the text of its smallest document; the text's hash tells it from other
+    texts of that id. The join is a shuffle at every size, so that costs grow with the texts.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(
-        reps.select("doc_id"), "doc_id", "left_semi"
-    )
-    sets = texts.mapInPandas(_sets, "doc_id long, n long, s1 long, s2 long, hashes binary")
-    found = sets.join(reps, ["doc_id", "n", "s1", "s2"])
-    return staged(found.select(F.col("rep").alias("id"), "hashes").dropDuplicates(["id"]))
+    texts = _keyed(docs).join(reps.hint("merge"), ["doc_id", "text_key"]).select("rep", "text")
+    return staged(texts.mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -295,16 +293,18 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     worded = rows.where("n > 0")
     reps = staged(
         worded.groupBy("n", "s1", "s2").agg(
-            F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
-            F.count("*").alias("copies"),
-        ).withColumn("rep", F.monotonically_increasing_id())
+            F.min(F.struct("doc_id", "text_key")).alias("source"), F.first("bands").alias("bands"),
+            F.first("sig").alias("sig"), F.count("*").alias("copies"),
+        )
+        .select("n", "s1", "s2", "source.*", "bands", "sig", "copies")
+        .withColumn("rep", F.monotonically_increasing_id())
     )
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     groups = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = staged(keyed.join(groups, "key"))
     members = members.select("key", "rep")
-    wanted = reps.select("rep", "doc_id", "n", "s1", "s2").join(members.select("rep").distinct(), "rep")
-    sets = shingled(docs, staged(wanted))
+    wanted = reps.select("rep", "doc_id", "text_key").join(members.select("rep").distinct(), "rep")
+    sets = shingled(docs, wanted)
     tried = links = labels = None
     for number in range(ROUNDS):
         # each member seeks one other component: that of its bucket's leader
