@@ -25,6 +25,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,7 @@ LIMIT = 18  # longest code in bits; more where the vocabulary needs it
 INTERVAL = 128  # ids between checkpoints
 BLOCK = 1 << 17  # ids in a block, at least, but for the last
 #: Characters encoded together; words and runs of words remembered per worker.
-CHUNK, WORD_CACHE, RUN_CACHE = 1 << 22, 400_000, 500_000
+CHUNK, WORD_CACHE, RUN_CACHE = 1 << 22, 200_000, 800_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> bytes:
@@ -61,8 +62,12 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> bytes:
 
 #: Where words of Latin letters may be cut: contractions, runs of letters, digits, other runs.
 RUN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:\W|_)+")
-#: From here on characters may combine with those before them; below, only U+0130 becomes two.
-_BEYOND_LATIN = "\u0250"
+#: The same cuts for Arrow's engine, in words of the characters PLAIN allows.
+_LETTER = r"A-Za-z\x{AA}\x{B2}\x{B3}\x{B5}\x{B9}\x{BA}\x{BC}-\x{BE}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}"
+CUT = rf"('(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+)"
+PLAIN = r"^[\x21-\x7E\x{A1}-\x{AC}\x{AE}-\x{12F}\x{131}-\x{24F}]*$"
+#: Runs encoded in one go, a space between them.
+TOGETHER = 512
 _PROBE = "It's  a\n\nProbe,\n 2 words' ends!' Été"
 
 
@@ -71,7 +76,9 @@ class WordTokenizer:
 
     Holds for models whose pieces never span a space or line end and that drop both; then a
     text's ids are its words' ids one after the other. Models that also ignore case and split
-    words as ``RUN`` does need far fewer distinct strings. Each property is checked on a probe.
+    words as ``RUN`` does need far fewer distinct strings: distinct words of Latin characters
+    alone (``PLAIN``; characters beyond may combine with those before them) are cut into runs by
+    Arrow, and new runs are encoded many at a time. Each property is checked on a probe.
     """
 
     def __init__(self, definition: bytes) -> None:
@@ -91,14 +98,6 @@ class WordTokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _parts(self, word: str) -> list[str]:
-        """Runs of a word that encode independently; the word itself where that is not sure."""
-        plain = word.isascii() or (max(word) < _BEYOND_LATIN and "\u0130" not in word)
-        special = any(x in word for x in self.special)
-        if not (self.by_runs and plain) or special or word.split() != [word]:
-            return [word]
-        return RUN.findall(word)
-
     def _lowered(self, texts: pa.Array) -> pa.Array:
         """A-Z in lower case, but for texts where that would make a special token."""
         low = pc.ascii_lower(texts)
@@ -106,26 +105,66 @@ class WordTokenizer:
             low = pc.if_else(pc.match_substring(low, token.lower()), texts, low)
         return low
 
-    def _distinct(self, words: list[str]) -> list[bytes]:
-        """Id bytes of a chunk's distinct words; only runs never met are encoded."""
+    def _encoded(self, runs: list[str]) -> Iterator[bytes]:
+        """Id bytes of runs without white space: many in one text, told apart by their places."""
+        for i in range(0, len(runs), TOGETHER):
+            some = runs[i : i + TOGETHER]
+            got = self.model.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            owner = np.searchsorted(ends, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right")
+            cuts = np.searchsorted(owner, np.arange(len(some) + 1)) * 4
+            data = ids.tobytes()
+            yield from (data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def _of_runs(self, runs: list[str]) -> list[bytes]:
+        """Id bytes of distinct plain runs; only those never met are encoded."""
+        ids = list(map(self.runs.get, runs))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            if len(self.runs) > RUN_CACHE:
+                self.runs.clear()
+            fresh = [runs[i] for i in missing]
+            for i, run, got in zip(missing, fresh, self._encoded(fresh), strict=True):
+                ids[i] = self.runs[run] = got
+        return ids
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Id bytes of distinct words of any kind; only those never met are encoded."""
         ids = list(map(self.words.get, words))
         missing = [i for i, x in enumerate(ids) if x is None]
-        parts = [self._parts(words[i]) for i in missing]
-        if len(self.runs) > RUN_CACHE:
-            self.runs.clear()
-        fresh = list(set().union(*parts).difference(self.runs))
-        for run, got in zip(
-            fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False), strict=True
-        ):
-            self.runs[run] = array("I", got.ids).tobytes()
-        if len(self.words) > WORD_CACHE:
-            self.words.clear()
-        for i, own in zip(missing, parts, strict=True):
-            ids[i] = self.words[words[i]] = b"".join(map(self.runs.__getitem__, own))
+        if missing:
+            if len(self.words) > WORD_CACHE:
+                self.words.clear()
+            fresh = [words[i] for i in missing]
+            got = self.model.encode_batch_fast(fresh, add_special_tokens=False)
+            for i, word, one in zip(missing, fresh, got, strict=True):
+                ids[i] = self.words[word] = array("I", one.ids).tobytes()
         return ids
 
-    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """Ids (uint32) of whole texts."""
+    def _plain(self, words: pa.Array) -> pa.Array:
+        plain = pc.match_substring_regex(words, PLAIN)
+        for token in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, token, ignore_case=True))
+        return plain
+
+    def _pool(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: one array, and where in it each word begins and how many it has."""
+        plain = self._plain(words) if self.by_runs else pa.array(np.zeros(len(words), bool))
+        mask = plain.to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring_regex(words.filter(plain), CUT, r"\1 "), " ")
+        coded = cut.flatten().dictionary_encode()
+        runs = self._of_runs(coded.dictionary.to_pylist())
+        first, ends = _gather(runs, coded.indices.to_numpy(), cut.offsets.to_numpy())
+        rest = self._of_words(words.filter(pc.invert(plain)).to_pylist())
+        size, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        size[mask], begin[mask] = np.diff(ends), ends[:-1]
+        size[~mask] = np.fromiter(map(len, rest), np.int64, len(rest)) // 4
+        begin[~mask] = len(first) + np.cumsum(size[~mask]) - size[~mask]
+        return np.concatenate([first, np.frombuffer(b"".join(rest), "<u4")]), begin, size
+
+    def encode(self, texts: Sequence[str | None], end_id: int | None = None) -> list[np.ndarray]:
+        """Ids (uint32) of whole texts, each followed by ``end_id`` if there is one."""
         out: list[np.ndarray] = []
         collect = gc.isenabled()
         gc.disable()  # the many small lists below hold no cycles
@@ -135,21 +174,32 @@ class WordTokenizer:
                 column = self._lowered(column) if self.any_case else column
                 split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
                 coded = split.flatten().dictionary_encode()
-                ids = self._distinct(coded.dictionary.to_pylist())
+                pool, begin, size = self._pool(coded.dictionary)
                 at = coded.indices.to_numpy()
-                size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                begin = (np.cumsum(size) - size)[at]
-                n = size[at]
-                ends = np.concatenate(([0], np.cumsum(n)))
-                take = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)
-                pool = np.frombuffer(b"".join(ids), "<u4")
-                out += np.split(pool[take], ends[split.offsets.to_numpy()][1:-1])
+                flat, ends = _taken(pool, begin[at], size[at], split.offsets.to_numpy())
+                if end_id is not None:
+                    flat = np.insert(flat, ends[1:], np.uint32(end_id))
+                    ends = ends + np.arange(len(ends))
+                out += np.split(flat, ends[1:-1])
         finally:
             if collect:
                 gc.enable()
         return out
 
 
+def _taken(pool: np.ndarray, begin: np.ndarray, size: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of a pool one after the other, and the ends of every list of them."""
+    ends = np.concatenate(([0], np.cumsum(size)))
+    take = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)
+    return pool[take], ends[offsets - offsets[0]]
+
+
+def _gather(ids: list[bytes], at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begin = np.cumsum(size) - size
+    return _taken(np.frombuffer(b"".join(ids), "<u4"), begin[at], size[at], offsets)
+
+
 _tokenizers: dict[int, WordTokenizer] = {}
 
 
@@ -162,13 +212,19 @@ def _tokenizer(definition: Broadcast[bytes]) -> WordTokenizer:
     return _tokenizers[key]
 
 
+@lru_cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Set up once a process."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(ids: np.ndarray) -> bytes:
     """Compressed uint32 ids, bytes of equal significance together."""
-    return zstandard.compress(np.frombuffer(ids.astype("<u4").tobytes(), np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return _zstd()[0].compress(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    planes = np.frombuffer(_zstd()[1].decompress(data), np.uint8)
     return np.frombuffer(planes.reshape(4, -1).T.tobytes(), "<u4")
 
 
@@ -181,7 +237,7 @@ def tokenized(docs: DataFrame, definition: bytes, end_id: int) -> DataFrame:
         for batch in batches:
             doc_ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
             for a, b in chunks(texts, CHUNK):
-                ids = [np.append(i, np.uint32(end_id)) for i in tokenizer.encode(texts[a:b])]
+                ids = tokenizer.encode(texts[a:b], end_id)
                 yield pd.DataFrame(
                     {"doc_id": doc_ids[a:b], "n": [len(i) for i in ids], "ids": list(map(_pack, ids))}
                 )
@@ -214,15 +270,21 @@ def counted(tokens: DataFrame) -> dict[int, int]:
     """Count of every id met: at most one entry per id of the vocabulary."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, np.int64)
+        total, held, size = np.zeros(0, np.int64), [], 0
+
+        def add() -> None:
+            nonlocal total, held, size
+            own = np.bincount(np.concatenate([np.empty(0, np.uint32), *held]), minlength=len(total))
+            own[: len(total)] += total
+            total, held, size = own, [], 0
+
         for batch in batches:
             for data in batch["ids"]:
-                own = np.bincount(_unpack(data))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
+                held.append(_unpack(data))
+                size += len(held[-1])
+                if size >= 1 << 20:  # a table of the vocabulary is filled once for many documents
+                    add()
+        add()
         some = np.flatnonzero(total)
         yield pd.DataFrame({"id": some, "n": total[some]})
 
