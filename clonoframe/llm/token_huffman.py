@@ -50,7 +50,7 @@ LIMIT = 18  # longest code in bits; more where the vocabulary needs it
 INTERVAL = 128  # ids between checkpoints
 BLOCK = 1 << 17  # ids in a block, at least, but for the last
 #: Characters encoded together; words and runs of words remembered per worker.
-CHUNK, WORD_CACHE, RUN_CACHE = 1 << 22, 200_000, 800_000
+CHUNK, WORD_CACHE, RUN_CACHE = 1 << 22, 100_000, 400_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> bytes:
