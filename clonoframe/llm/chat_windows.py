@@ -56,14 +56,16 @@ def _raw_role(role: Column) -> Column:
 
 def _prefixed(turns: DataFrame) -> DataFrame:
     """Turns with their token cost and the running sum of costs in their conversation."""
-    rows = turns.select(
+    raw = turns.select(
         "conv_id", "turn",
-        _role(F.coalesce("role", F.lit(""))).alias("role"),
-        escape(F.coalesce("text", F.lit(""))).alias("text"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = rows.withColumn("cost", F.regexp_count("text", F.lit(TOKEN)).cast("long") + OVERHEAD)
+    cost = F.regexp_count(escape(F.col("text")), F.lit(TOKEN)).cast("long") + OVERHEAD
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return rows.withColumn("upto", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = raw.withColumn("cost", cost).withColumn(
+        "upto", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    return rows.withColumns({"role": _role(F.col("role")), "text": escape(F.col("text"))})
 
 
 def windows(

@@ -7,7 +7,8 @@ model is a matrix of log-probabilities, BUCKETS x languages of eight bytes; its
 by ``LANGUAGES`` and checked before it is broadcast.
 
 Prediction is one scan: a batch's n-grams select rows of the matrix, which are summed per text,
-in pieces of bounded size. The score is the winner's posterior probability with the evidence of
+in pieces of bounded size. An n-gram lies inside one text, whole texts between two spaces, so a
+text's counts and score do not depend on its neighbours or on the pieces. The score is the winner's posterior probability with the evidence of
 a text counted as at most ``EVIDENCE`` n-grams, so that long texts do not all score 1.
 
 Defined cases: ``und`` with score 0 for null text, for text without a letter, and when there
@@ -32,41 +33,55 @@ BUCKETS = 1 << 15
 LANGUAGES = 256
 SMOOTHING = 0.1
 EVIDENCE = 200
-PIECE = 1 << 18
+PIECE = 1 << 18  # code points handled at a time
+GATHERED = 1 << 23  # log-probabilities gathered at a time, 64 MB
 UNKNOWN = "und"
 
 
-def _codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of lower-cased texts, each between two spaces, and where each text starts."""
-    padded = [f" {t.lower()} " for t in texts]
-    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
-    sizes = np.array([len(t) for t in padded])
-    return points, np.cumsum(sizes) - sizes
-
+def _windows(texts: Sequence[str], piece: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Batches of texts: first, end, code points, sizes, and how many n-grams may begin.
 
-def _grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the 1-, 2- and 3-grams that begin at each code point (shorter at the end)."""
-    one = points * np.uint32(0x9E3779B1)
-    two = (one[:-1] ^ points[1:]) * np.uint32(0x85EBCA6B)
-    three = (two[:-1] ^ points[2:]) * np.uint32(0xC2B2AE35)
-    shift = np.uint32(32 - BUCKETS.bit_length() + 1)
-    return one >> shift, two >> shift, three >> shift
+    Texts are lower-cased and stand between two spaces. A very long text comes in pieces that
+    overlap by two code points, in which no n-gram begins but in the last one.
+    """
+    for a, b in chunks(texts, piece):
+        padded = [f" {t.lower()} " for t in texts[a:b]]
+        if b - a > 1 or len(padded[0]) <= piece:
+            yield a, b, *_codes(padded), sum(map(len, padded))
+            continue
+        for at in range(0, len(padded[0]), piece):
+            yield a, b, *_codes([padded[0][at : at + piece + 2]]), piece
 
 
-def _windows(texts: Sequence[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Batches of texts (first, end, code points, starts); a very long text comes in pieces."""
-    for a, b in chunks(texts, PIECE):
-        if b - a == 1 and len(texts[a]) > PIECE:
-            for at in range(0, len(texts[a]), PIECE):
-                yield a, b, *_codes([texts[a][at : at + PIECE]])
-        else:
-            yield a, b, *_codes(texts[a:b])
+def _codes(padded: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts one after another, and the size of each."""
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
+    return points, np.array([len(t) for t in padded])
 
 
-def _by_text(total: np.ndarray, values: np.ndarray, starts: np.ndarray) -> None:
-    """Add the values' sums per text; a text's n-grams begin at its own code points."""
-    inside = starts < len(values)
-    total[inside] += np.add.reduceat(values, starts[inside])
+def _grams(points: np.ndarray, sizes: np.ndarray, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1-, 2- and 3-grams: their buckets, and the number that begin in each text."""
+    shift = np.uint32(32 - BUCKETS.bit_length() + 1)
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(points))  # code points from here to the text's end
+    left[begin:] = 0
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    code = points * np.uint32(0x9E3779B1)
+    for n, odd in ((1, 0), (2, 0x85EBCA6B), (3, 0xC2B2AE35)):
+        if n > 1:
+            code = (code[:-1] ^ points[n - 1 :]) * np.uint32(odd)
+        inside = left[: len(code)] >= n
+        yield code[inside] >> shift, np.bincount(owner[: len(code)][inside], minlength=len(sizes))
+
+
+def _sums(values: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows, ``per_text`` of them for each text."""
+    out = np.zeros((len(per_text), values.shape[1]))
+    some = np.flatnonzero(per_text)
+    if len(some):
+        starts = np.cumsum(per_text) - per_text
+        out[some] = np.add.reduceat(values, starts[some])
+    return out
 
 
 @dataclass
@@ -80,10 +95,11 @@ class Model:
         body = [t or "" for t in texts]
         sums = np.zeros((len(body), len(self.languages)))
         grams = np.zeros(len(body))
-        for a, b, points, starts in _windows(body):
-            for bucket in _grams(points):
-                _by_text(sums[a:b], self.table[bucket], starts)
-                _by_text(grams[a:b], np.ones(len(bucket)), starts)
+        piece = max(1, min(PIECE, GATHERED // max(1, len(self.languages))))
+        for a, b, *window in _windows(body, piece):
+            for bucket, per_text in _grams(*window):
+                sums[a:b] += _sums(self.table[bucket], per_text)
+                grams[a:b] += per_text
         names = [UNKNOWN] * len(body)
         scores = np.zeros(len(body))
         if not self.languages:
@@ -109,8 +125,8 @@ def counts(docs: DataFrame) -> DataFrame:
             for lang, rows in batch.groupby("lang", sort=False):
                 own = tables.setdefault(str(lang), np.zeros(BUCKETS + 1, np.int64))
                 own[BUCKETS] += len(rows)
-                for _, _, points, _ in _windows(rows["text"].tolist()):
-                    for bucket in _grams(points):
+                for _, _, *window in _windows(rows["text"].tolist(), PIECE):
+                    for bucket, _ in _grams(*window):
                         own[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
         for lang, own in tables.items():
             some = np.flatnonzero(own)
