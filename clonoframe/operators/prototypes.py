@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from clonoframe.functions.sequence import explode_kmers
 
 PANEL_BYTES = 512 * 1024 * 1024
+SCORED = 1 << 22  # scores of rows against centroids held at a time, 32 MB
 
 
 def mean_centroids(vectors: DataFrame, label: str = "label", column: str = "embedding") -> DataFrame:
@@ -41,23 +42,99 @@ def panel_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.array([r["centroid"] for r in rows], dtype=np.float64)
 
 
+class CentroidIndex:
+    """Exact nearest-centroid search: centroids in groups, far groups left out by distance.
+
+    About sqrt(m) groups around pivot centroids, each with its radius. By the triangle
+    inequality no member of a group is nearer to a row than the distance to the pivot less the
+    radius; groups are visited per block of rows in order of that bound, and a row leaves once
+    it exceeds its best distance. Scores are made for SCORED cells at a time, so a worker holds
+    the panel and 3 * SCORED doubles, whatever the number of centroids and rows. Ties go to the
+    first centroid, as in a full search.
+    """
+
+    def __init__(self, matrix: np.ndarray):
+        # about a common origin, so that rounding is relative to the spread and not to an offset
+        self.origin = matrix.mean(axis=0)
+        centred = matrix - self.origin
+        self.squares = np.einsum("ij,ij->i", centred, centred)
+        m = len(matrix)
+        many = max(1, int(np.sqrt(m)))
+        self.pivots = centred[np.linspace(0, m - 1, many).astype(int)]
+        pivot_squares = np.einsum("ij,ij->i", self.pivots, self.pivots)
+        group = np.empty(m, np.int64)
+        for at in range(0, m, max(1, SCORED // many)):
+            part = slice(at, at + max(1, SCORED // many))
+            group[part] = np.argmin(pivot_squares - 2 * centred[part] @ self.pivots.T, axis=1)
+        self.pivot_squares = pivot_squares
+        self.members = [np.flatnonzero(group == g) for g in range(many)]
+        self.blocks = [centred[own] for own in self.members]
+        self.radius = np.array([
+            np.sqrt(((block - pivot) ** 2).sum(axis=1).max()) if len(block) else -np.inf
+            for block, pivot in zip(self.blocks, self.pivots)
+        ])
+        self.scored = 0  # cells scored, for tests and tuning
+
+    def nearest(self, rows: np.ndarray) -> np.ndarray:
+        """Position of the nearest centroid of every row."""
+        out = np.empty(len(rows), np.int64)
+        widest = max(len(self.pivots), max(map(len, self.members)))
+        step = max(1, SCORED // widest)
+        for at in range(0, len(rows), step):
+            out[at : at + step] = self._nearest(rows[at : at + step] - self.origin)
+        return out
+
+    def _nearest(self, x: np.ndarray) -> np.ndarray:
+        own = np.einsum("ij,ij->i", x, x)
+        to_pivot = np.sqrt(np.maximum(own[:, None] - 2 * x @ self.pivots.T + self.pivot_squares, 0))
+        self.scored += to_pivot.size
+        # squares are computed with rounding, so bounds are loosened by more than that
+        slack = 1e-6 * (np.sqrt(own) + np.sqrt(self.squares.max()))
+        bound = to_pivot - self.radius - slack[:, None]
+        best = np.full(len(x), np.inf)
+        place = np.full(len(x), len(self.squares))
+        # each row's own group first, then the groups that some row cannot rule out
+        first = bound.argmin(axis=1)
+        for mine in (True, False):
+            for g, members in enumerate(self.members):
+                near = (first == g) if mine else (first != g) & (bound[:, g] <= np.sqrt(np.maximum(best, 0)))
+                rows = np.flatnonzero(near)
+                if not len(rows) or not len(members):
+                    continue
+                square = own[rows, None] - 2 * x[rows] @ self.blocks[g].T + self.squares[members]
+                self.scored += square.size
+                at = square.argmin(axis=1)
+                found, where = square[np.arange(len(rows)), at], members[at]
+                better = (found < best[rows]) | ((found == best[rows]) & (where < place[rows]))
+                best[rows[better]], place[rows[better]] = found[better], where[better]
+        return place
+
+
+def _largest_products(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    step = max(1, SCORED // len(matrix))
+    parts = [np.argmax(rows[at : at + step] @ matrix.T, axis=1) for at in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
 def assign_nearest(
     vectors: DataFrame, centroids: DataFrame, column: str = "embedding", metric: str = "euclidean"
 ) -> DataFrame:
-    """Add ``prototype``: nearest centroid, or largest dot product with ``metric='dot'``."""
+    """Add ``prototype``: nearest centroid, or largest dot product with ``metric='dot'``.
+
+    Exact for any panel that passes the size check; see ``CentroidIndex`` for the memory held.
+    """
     if metric not in ("euclidean", "dot"):
         raise ValueError(f"unknown metric {metric}")
-    spark = vectors.sparkSession
-    panel = spark.sparkContext.broadcast(panel_matrix(centroids))
+    ids, matrix = panel_matrix(centroids)
+    index = CentroidIndex(matrix) if metric == "euclidean" else matrix
+    panel = vectors.sparkSession.sparkContext.broadcast((ids, index))
 
     @F.pandas_udf(T.LongType())
     def nearest(batch: pd.Series) -> pd.Series:
-        ids, matrix = panel.value
+        ids, index = panel.value
         x = np.stack(batch.to_numpy()).astype(np.float64)
-        score = x @ matrix.T
-        if metric == "euclidean":
-            score = 2 * score - (matrix * matrix).sum(axis=1)
-        return pd.Series(ids[np.argmax(score, axis=1)])
+        at = index.nearest(x) if metric == "euclidean" else _largest_products(x, index)
+        return pd.Series(ids[at])
 
     return vectors.withColumn("prototype", nearest(F.col(column)))
 

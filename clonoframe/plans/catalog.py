@@ -359,18 +359,18 @@ def _(spark, d):
     )
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    return df.toDF(*[c.replace("-", "_") for c in df.columns])
+
+
 @query("bench_features")
 def _(spark, d):
-    clones = qc(spark, d)
-    return benchfeatures.physical(clones).join(benchfeatures.diversity(clones), "sample_id")
+    return plain_names(benchfeatures.benchmark_features(qc(spark, d)))
 
 
 @query("gene_onehot")
 def _(spark, d):
-    vocab = {"V": ["TRBV1", "TRBV2", "TRBV9", "TRBV13", "TRBV14", "TRBV15", "TRBV30"],
-             "J": ["TRBJ1-1", "TRBJ1-2", "TRBJ2-1", "TRBJ2-7"]}
-    shares = benchfeatures.gene_shares(qc(spark, d), vocab=vocab)
-    return shares.toDF(*[c.replace("-", "_") for c in shares.columns])
+    return plain_names(benchfeatures.gene_shares(qc(spark, d)))
 
 
 @query("multi_chain")

@@ -446,24 +446,25 @@ _cols = {"len": "len", "charge": "charge", "hydro": "hydro_all", "arom": "arom"}
 _aggs = ", ".join(
     f"sum(cnt * cast({e} as double)) / sum(cnt) as phys_{p}_mean, stddev_pop({e}) as phys_{p}_std"
     for p, e in _cols.items())
+_onehot = {f"{p}_{g}".replace("-", "_"): (c, g) for p, c, part in (("vgene", "v_gene", "V"), ("jgene", "j_gene", "J"))
+           for g in S.GENE_VOCAB["TRB"][part]}
+ONEHOT = "select sample_id, " + ", ".join(
+    f"avg({isin(c, [g])}) as {n}" for n, (c, g) in _onehot.items()) + " from qc group by sample_id"
+QUERIES["gene_onehot"] = sql(CLONES, QC, keys="sample_id", doubles=" ".join(_onehot), body=ONEHOT)
 QUERIES["bench_features"] = sql(
-    CLONES, QC, PROPS, SPEC, keys="sample_id div_n_clones",
+    CLONES, QC, PROPS, SPEC, *vj_ctes("sum(cnt)"), keys="sample_id div_n_clones vj_n_unique_pairs vj_n_v_genes vj_n_j_genes",
     doubles=" ".join(_phys) + " div_simpson div_shannon div_clonality div_d50 div_pielou "
-            "conv_top1_freq conv_top5_freq conv_unique_ratio",
+            "conv_top1_freq conv_top5_freq conv_unique_ratio vj_pair_entropy vj_pair_simpson vj_max_pair_frac "
+            "vj_v_entropy vj_v_simpson vj_j_entropy vj_j_simpson vj_pair_ratio " + " ".join(_onehot),
     body=f"""select a.*, d.simpson as div_simpson, d.shannon as div_shannon, d.clonality as div_clonality,
       d.d50_index / cast(u.n as double) as div_d50, d.pielou_evenness as div_pielou, u.n as div_n_clones,
-      d.top_clone_frac as conv_top1_freq, d.top5_freq as conv_top5_freq, u.uniq / cast(u.n as double) as conv_unique_ratio
+      d.top_clone_frac as conv_top1_freq, d.top5_freq as conv_top5_freq, u.uniq / cast(u.n as double) as conv_unique_ratio,
+      g.* exclude (sample_id), p.* exclude (sample_id)
       from (select sample_id, {_aggs} from qc join props using (cdr3_aa) group by sample_id) a
       join ({DIVERSITY}) d on a.sample_id = d.sample_id
       join (select sample_id, count(*) as n, count(distinct cdr3_aa) as uniq from qc group by sample_id) u
-        on a.sample_id = u.sample_id""")
-_onehot = {f"vgene_{g}": ("v_gene", g) for g in
-           ["TRBV1", "TRBV2", "TRBV9", "TRBV13", "TRBV14", "TRBV15", "TRBV30"]}
-_onehot |= {f"jgene_{g}".replace("-", "_"): ("j_gene", g) for g in ["TRBJ1-1", "TRBJ1-2", "TRBJ2-1", "TRBJ2-7"]}
-QUERIES["gene_onehot"] = sql(
-    CLONES, QC, keys="sample_id", doubles=" ".join(_onehot),
-    body="select sample_id, " + ", ".join(
-        f"avg({isin(c, [g])}) as {n}" for n, (c, g) in _onehot.items()) + " from qc group by sample_id")
+        on a.sample_id = u.sample_id
+      join ({ONEHOT}) g on a.sample_id = g.sample_id join ({VJ_BODY}) p on a.sample_id = p.sample_id""")
 _div = "shannon simpson clonality powerlaw_a cdr3_len_mean cdr3_len_sd".split()
 
 
