@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clonoframe import schema as S
 from clonoframe.functions.sequence import normalized_gene, standard_only
@@ -27,7 +34,12 @@ SIMILAR = {"cdr3_aa": ["cdr3", "aa"], "v_gene": ["v_gene", "v_call"],
 LONG_HEADERS = {"CDR3 amino acid sequence": "cdr3_aa", "V segments": "v_gene",
                 "J segments": "j_gene", "Count": "count"}
 CHAIN_IN_NAME = "__(TRA|TRB|TRG|TRD|IGH|IGK|IGL)"
+# file names of cohort archives: accession, group, patient, cells, and a replicate mark before more parts
+ARCHIVE_NAME = "^([^_]*)_([^_]*)_([^_]*)_([^_]*)(?:_(L[^_]*)(?=_))?"
 TOP = 500
+WHOLE_FILE = 1 << 40  # no file is split where only its header is read
+BAD = "_rejected"  # holds the text of a line that does not fit its header
+ANY_TABLE = "*.{csv,tsv,txt,csv.gz,tsv.gz,txt.gz}"
 
 
 def separator(path: str) -> str:
@@ -84,44 +96,119 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Data
     return files.where("length > 0").select("path", F.col("_metadata.file_path").alias("_file"))
 
 
-def layouts(files: DataFrame) -> dict[str, list[str]]:
-    """Paths by header line, so that each layout is read with its own columns.
+def header_index(files: DataFrame) -> DataFrame:
+    """(path, _file, header): the first line of each file that is not blank; null if there is none.
 
-    One pass over the lines keeps the first of each file; only paths and headers, as many as
-    the listing Spark itself holds, come to the driver.
+    Every file is one split, and its task stops reading behind the first such line, so the index
+    costs a few blocks a file. The split size is set in a session of its own, which shares the
+    context; paths and headers, as many as the listing Spark itself holds, come to the driver.
     """
-    paths = [r["path"] for r in files.collect()]
-    if not paths:
-        return {}
-    lines = files.sparkSession.read.text(paths).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_line"),
-        "value",
-    )
-    headers = lines.groupBy("_file").agg(F.min_by("value", F.struct("_at", "_line")).alias("header"))
-    out: dict[str, list[str]] = {}
-    for row in headers.join(files, "_file").orderBy("_file").collect():
-        out.setdefault(row["header"], []).append(row["path"])
-    return out
-
-
-def read_listed(files: DataFrame, sep: str) -> DataFrame:
-    """Text columns of the files, matched by name within and across layouts, with ``_file``.
-
-    Malformed lines give no rows. Columns that only some layouts have are null elsewhere.
+    spark = files.sparkSession
+    listed = files.select("path", "_file").collect()
+    headers = {}
+    if listed:
+        heads = spark.newSession()
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            heads.conf.set(key, str(WHOLE_FILE))
+        heads.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+        lines = heads.read.text([r["path"] for r in listed]).select(
+            F.col("_metadata.file_path").alias("_file"), F.col("value").alias("header")
+        )
+        found = lines.mapInPandas(_first_lines, "_file string, header string").collect()
+        headers = {r["_file"]: r["header"] for r in found}
+    rows = [(r["path"], r["_file"], headers.get(r["_file"])) for r in listed]
+    return spark.createDataFrame(rows, "path string, _file string, header string")
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first line that is not blank; the rest of the task's file is left unread."""
+    for batch in batches:
+        some = batch[batch["header"].str.strip() != ""]
+        if len(some):
+            yield some.head(1)
+            return
+
+
+def header_names(header: str, sep: str) -> list[str]:
+    """Column names of a header line; empty and repeated ones get their position."""
+    names = next(csv.reader([header.removeprefix("\ufeff")], delimiter=sep))
+    seen = Counter(n.lower() for n in names)
+    return [
+        f"_c{i}" if not n else f"{n}{i}" if seen[n.lower()] > 1 else n for i, n in enumerate(names)
+    ]
+
+
+class Folder:
+    """Files of any mixture of layouts below one folder, read once by their header lines.
+
+    ``sep`` is taken from each file's extension unless given. Columns are matched by name, within
+    and across layouts. A line is rejected if it has more or fewer fields than its header,
+    whichever columns a query uses; a file without any line is skipped.
     """
-    spark, out = files.sparkSession, None
-    for paths in layouts(files).values():
-        rows = spark.read.csv(
-            paths, header=True, sep=sep, mode="DROPMALFORMED", enforceSchema=False
-        ).select("*", F.col("_metadata.file_path").alias("_file"))
-        rows = with_aliases(rows)
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return spark.createDataFrame([], "_file string") if out is None else out
 
-
-def read_files(spark: SparkSession, folder: str, pattern: str = "*.csv", sep: str = ",") -> DataFrame:
+    def __init__(self, files: DataFrame, sep: str | None = None):
+        self.spark = files.sparkSession
+        self.index = header_index(files)
+        self.layouts: dict[tuple[str, str], list[str]] = {}
+        for row in sorted(self.index.collect(), key=lambda r: r["_file"]):
+            if row["header"] is not None:
+                kind = (sep or separator(row["path"]), row["header"])
+                self.layouts.setdefault(kind, []).append(row["path"])
+        self.parsed = [(header_names(h, d), self._lines(h, d, p)) for (d, h), p in self.layouts.items()]
+
+    def _lines(self, header: str, sep: str, paths: list[str]) -> DataFrame:
+        names = header_names(header, sep)
+        fields = [T.StructField(n, T.StringType()) for n in [*names, BAD]]
+        whole = self.spark.read.schema(T.StructType(fields)).option("columnPruning", False)
+        read = whole.csv(
+            paths, header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD
+        )
+        # a scan of the rejected text alone is refused, so its column also names the first field
+        first = F.col(f"`{names[0]}`")
+        rejected = F.when(F.length(first) < 0, first).otherwise(F.col(BAD))
+        return read.withColumns({BAD: rejected, "_file": F.col("_metadata.file_path")})
+
+    def rows(self) -> DataFrame:
+        """Text columns with ``_file``; columns that only some layouts have are null elsewhere."""
+        good = [with_aliases(lines.where(F.col(BAD).isNull()).drop(BAD)) for _, lines in self.parsed]
+        return self._united(good, "_file string")
+
+    def rejected(self) -> DataFrame:
+        """(_file, line, first_field) of the lines that ``rows`` leaves out."""
+        bad = [
+            lines.where(F.col(BAD).isNotNull()).select(
+                "_file", F.col(BAD).alias("line"), F.col(f"`{names[0]}`").alias("first_field")
+            )
+            for names, lines in self.parsed
+        ]
+        return self._united(bad, "_file string, line string, first_field string")
+
+    def report(self) -> DataFrame:
+        """(_file, header, kept, rejected) of every file listed; a skipped one has no header."""
+        counts = [
+            lines.groupBy("_file").agg(
+                F.count_if(F.col(BAD).isNull()).alias("kept"),
+                F.count_if(F.col(BAD).isNotNull()).alias("rejected"),
+            )
+            for _, lines in self.parsed
+        ]
+        counted = self._united(counts, "_file string, kept long, rejected long")
+        return self.index.drop("path").join(counted, "_file", "left").na.fill(0, ["kept", "rejected"])
+
+    def _united(self, frames: list[DataFrame], empty: str) -> DataFrame:
+        if not frames:
+            return self.spark.createDataFrame([], empty)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def read_listed(files: DataFrame, sep: str | None = None) -> DataFrame:
+    """Rows of the listed files, see ``Folder``."""
+    return Folder(files, sep).rows()
+
+
+def read_files(
+    spark: SparkSession, folder: str, pattern: str = "*.csv", sep: str | None = None
+) -> DataFrame:
     """All matching files below a folder, whatever layout each has; empty files are skipped."""
     return read_listed(list_files(spark, folder, pattern), sep)
 
@@ -190,12 +277,12 @@ def from_dialect(rows: DataFrame) -> DataFrame:
 
 
 def labelled_files(
-    spark: SparkSession, folders: dict[str, str], pattern: str, sep: str = ",", top: int = TOP,
+    spark: SparkSession, folders: dict[str, str], pattern: str = ANY_TABLE, sep: str | None = None, top: int = TOP,
     chain: str = "TRB", suffix: str = "",
 ) -> DataFrame:
     """Per-sample files of several groups, largest ``top`` valid clones of each sample.
 
-    ``folders`` maps a group label to its folder; layouts may differ between folders.
+    Separators follow the extensions unless ``sep`` is given. ``folders`` maps a group label to its folder; layouts may differ between folders.
     """
     out = None
     for group, folder in folders.items():
@@ -250,17 +337,14 @@ def first_file_per_patient(files: DataFrame) -> DataFrame:
 
     PBMC files only, one excluded group, no later replicates, first file per patient.
     """
-    parts = F.split(file_stem(), "_")
-    named = files.select("*", parts.alias("_p")).filter(F.size("_p") >= 4).select(
-        *files.columns, F.col("_p")[0].alias("accession"), F.col("_p")[1].alias("cohort"),
-        F.col("_p")[2].alias("patient"), F.col("_p")[3].alias("cells"), "_p",
-    )
-    late = (F.size("_p") > 5) & F.get("_p", F.lit(4)).startswith("L") & (F.get("_p", F.lit(4)) != "L1")
-    kept = named.filter(
-        (F.col("cells") == "PBMC") & (F.col("cohort") != "HAM") & ~F.coalesce(late, F.lit(False))
-    )
+    parts = {
+        name: F.regexp_extract(file_stem(), ARCHIVE_NAME, i)
+        for i, name in enumerate(("accession", "cohort", "patient", "cells", "_replicate"), 1)
+    }
+    named = files.where(file_stem().rlike(ARCHIVE_NAME)).withColumns(parts)
+    kept = named.filter("cells = 'PBMC' and cohort != 'HAM' and _replicate in ('', 'L1')")
     first = W.partitionBy("cohort", "patient").orderBy("_file")
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_p")
+    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_replicate")
 
 
 def read_cohort_archive(spark: SparkSession, folder: str, case: str = "MS", top: int = TOP) -> DataFrame:

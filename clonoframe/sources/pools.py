@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clonoframe.functions.sequence import standard_only
 from clonoframe.operators.sampling import sample_per_group
+from clonoframe.sources.clones import separator
 
 MIN_POOL_LENGTH = 8
 
@@ -30,11 +31,18 @@ def pool_rows(rows: DataFrame, seq_col: str, count_col: str | None = None) -> Da
 def read_pool(
     spark: SparkSession, path: str | Sequence[str], seq_col: str, count_col: str | None = None
 ) -> DataFrame:
-    """csv, tsv or txt files, compressed or not; all columns as text, cast where used."""
-    first = path if isinstance(path, str) else path[0]
-    tabbed = first.removesuffix(".gz").endswith((".tsv", ".txt"))
-    rows = spark.read.csv(path, header=True, sep="\t" if tabbed else ",")
-    return pool_rows(rows, seq_col, count_col)
+    """csv, tsv or txt files, compressed or not; all columns as text, cast where used.
+
+    Each path is read with the separator of its own extension.
+    """
+    by_sep: dict[str, list[str]] = {}
+    for one in [path] if isinstance(path, str) else path:
+        by_sep.setdefault(separator(one), []).append(one)
+    parts = [
+        pool_rows(spark.read.csv(paths, header=True, sep=sep), seq_col, count_col)
+        for sep, paths in by_sep.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def build_pool(datasets: Sequence[DataFrame], top: int | None = None) -> DataFrame:
