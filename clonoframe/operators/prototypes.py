@@ -35,7 +35,7 @@ def panel_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     shape = centroids.agg(
         F.count(F.lit(1)).alias("m"), F.max(F.size("centroid")).alias("d")
     ).first()
-    if shape["m"] * shape["d"] * 8 > PANEL_BYTES:
+    if shape["m"] * (shape["d"] or 0) * 8 > PANEL_BYTES:
         raise ValueError(f"panel of {shape['m']} x {shape['d']} does not fit one broadcast")
     rows = centroids.select("prototype", "centroid").orderBy("prototype").collect()
     ids = np.array([r["prototype"] for r in rows], dtype=np.int64)
@@ -92,7 +92,7 @@ class CentroidIndex:
         slack = 1e-6 * (np.sqrt(own) + np.sqrt(self.squares.max()))
         bound = to_pivot - self.radius - slack[:, None]
         best = np.full(len(x), np.inf)
-        place = np.full(len(x), len(self.squares))
+        place = np.zeros(len(x), np.int64)
         # each row's own group first, then the groups that some row cannot rule out
         first = bound.argmin(axis=1)
         for mine in (True, False):
@@ -122,10 +122,13 @@ def assign_nearest(
     """Add ``prototype``: nearest centroid, or largest dot product with ``metric='dot'``.
 
     Exact for any panel that passes the size check; see ``CentroidIndex`` for the memory held.
+    Without centroids it is null; a row with NaN gets the first centroid.
     """
     if metric not in ("euclidean", "dot"):
         raise ValueError(f"unknown metric {metric}")
     ids, matrix = panel_matrix(centroids)
+    if not len(ids):
+        return vectors.withColumn("prototype", F.lit(None).cast("long"))
     index = CentroidIndex(matrix) if metric == "euclidean" else matrix
     panel = vectors.sparkSession.sparkContext.broadcast((ids, index))
 
