@@ -125,17 +125,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= quality_gam.KEEP, 1).otherwise(0))
 
 
-def _crc32(ids: pd.Series) -> pd.Series:
-    return ids.map(zlib.crc32).astype("int64")
-
-
 def op6_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = shared_folder(spark)
     token_huffman.write_files(docs, path, token_huffman.tokenizer_file(), end_id=2)
-    crc = F.pandas_udf(_crc32, "long")
     return token_huffman.read_files(spark, path).select(
-        "doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32")
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
 
 

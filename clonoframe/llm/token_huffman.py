@@ -50,7 +50,7 @@ LIMIT = 18  # longest code in bits; more where the vocabulary needs it
 INTERVAL = 128  # ids between checkpoints
 BLOCK = 1 << 17  # ids in a block, at least, but for the last
 #: Characters encoded together; words and runs of words remembered per worker.
-CHUNK, WORD_CACHE, RUN_CACHE = 1 << 22, 100_000, 400_000
+CHUNK, WORD_CACHE, RUN_CACHE = 1 << 21, 100_000, 300_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> bytes:
@@ -212,6 +212,13 @@ def _tokenizer(definition: Broadcast[bytes]) -> WordTokenizer:
     return _tokenizers[key]
 
 
+def _forget() -> None:
+    """Drop the caches of a worker that tokenised before; later steps have no use for them."""
+    if _tokenizers:
+        _tokenizers.clear()
+        pa.default_memory_pool().release_unused()
+
+
 @lru_cache
 def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     """Set up once a process."""
@@ -248,6 +255,7 @@ def tokenized(docs: DataFrame, definition: bytes, end_id: int) -> DataFrame:
 
 def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Running count of ids over a task's rows; a task holds one shard."""
+    _forget()
     shard, start = None, 0
     for batch in batches:
         starts = []
@@ -270,6 +278,7 @@ def counted(tokens: DataFrame) -> dict[int, int]:
     """Count of every id met: at most one entry per id of the vocabulary."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _forget()
         total, held, size = np.zeros(0, np.int64), [], 0
 
         def add() -> None:
@@ -381,6 +390,7 @@ def _writer(code: Broadcast[Code]) -> Callable[[Iterator[pd.DataFrame]], Iterato
     """Blocks of documents that follow each other in one shard."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _forget()
         at, doc_ids, held, size = (-1, 0), [], [], 0
 
         def full() -> pd.DataFrame:
@@ -436,6 +446,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         before += row["n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _forget()
         for batch in batches:
             for row in batch.itertuples(index=False):
                 sizes = np.asarray(row.sizes)
