@@ -388,17 +388,24 @@ def _key_of(text: pd.Series) -> pd.DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of one document of each group: its smallest id. See the defined cases for its rows."""
+    """The rows of one document of each group: its smallest id. See the defined cases for its rows.
+
+    The texts meet the ids to leave out in one shuffle at every size, so that costs grow with the
+    texts; only where ids repeat, their rows are read apart. Rows without an id are not shuffled.
+    """
     marked = staged(_identified(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
-    gone = marked.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
     twice = marked.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("c"))
     twice = staged(twice.where("c > 1").drop("c"))
-    own = F.col("doc_id").cast("long") == F.col("_id")
-    kept = docs.join(gone, own, "left_anti")
-    once = kept.join(twice, own, "left_anti")
+    gone = marked.where("not kept").select(F.col("doc_id").alias("_id")).unionAll(twice).distinct()
+    number = F.col("doc_id").cast("long")
+    own = number == F.col("_id")
+    once = docs.where(number.isNotNull()).join(gone.hint("merge"), own, "left_anti")
+    once = once.unionByName(docs.where(number.isNull()))
+    if twice.isEmpty():
+        return once
     # rows of a repeated id: one per set, the first by text
     key = F.pandas_udf(_key_of, "n long, s1 long, s2 long")(F.coalesce("text", F.lit("")))
-    many = kept.join(twice, own, "left_semi").withColumn("_key", key)
+    many = docs.join(twice, own, "left_semi").withColumn("_key", key)
     of = F.when(F.col("_key.n") > 0, F.struct("_key.s1", "_key.s2", "_key.n", F.lit("").alias("t"))).otherwise(
         F.struct("_key.s1", "_key.s2", "_key.n", F.coalesce("text", F.lit("")).alias("t"))
     )
