@@ -26,6 +26,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,7 @@ LIMIT = 18  # longest code in bits; more where the vocabulary needs it
 INTERVAL = 128  # ids between checkpoints
 BLOCK = 1 << 17  # ids in a block, at least, but for the last
 #: Characters encoded together; words and runs of words remembered per worker.
-CHUNK, WORD_CACHE, RUN_CACHE = 1 << 21, 100_000, 300_000
+CHUNK, WORD_CACHE, RUN_CACHE = 1 << 23, 100_000, 500_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> bytes:
@@ -76,9 +77,10 @@ class WordTokenizer:
 
     Holds for models whose pieces never span a space or line end and that drop both; then a
     text's ids are its words' ids one after the other. Models that also ignore case and split
-    words as ``RUN`` does need far fewer distinct strings: distinct words of Latin characters
-    alone (``PLAIN``; characters beyond may combine with those before them) are cut into runs by
-    Arrow, and new runs are encoded many at a time. Each property is checked on a probe.
+    words as ``RUN`` does, marking the last piece of a run, need far fewer distinct strings: distinct
+    words of Latin characters alone (``PLAIN``; characters beyond may combine with those before them)
+    are cut into runs by Arrow, and new runs are encoded many at a time. Each property is checked on
+    a probe.
     """
 
     def __init__(self, definition: bytes) -> None:
@@ -88,12 +90,20 @@ class WordTokenizer:
         self.model = Tokenizer.from_buffer(definition)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        #: Runs met, by number; a run's ids lie between its place in ``begin`` and the next.
+        self.runs: dict[str, int] = {}
+        self.ids, self.begin = np.empty(0, np.uint32), np.zeros(1, np.int64)
         whole = self._ids(_PROBE)
         if [i for w in _PROBE.split() for i in self._ids(w)] != whole:
             raise ValueError("this tokenizer's pieces depend on the space between words")
         self.any_case = self._ids(_PROBE.lower()) == whole
-        self.by_runs = [i for w in _PROBE.split() for r in RUN.findall(w) for i in self._ids(r)] == whole
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        runs = [self._ids(r) for w in _PROBE.split() for r in RUN.findall(w)]
+        by_runs = [i for r in runs for i in r] == whole
+        self.by_runs = by_runs and all(self.last[r].nonzero()[0].tolist() == [len(r) - 1] for r in runs)
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
@@ -105,29 +115,41 @@ class WordTokenizer:
             low = pc.if_else(pc.match_substring(low, token.lower()), texts, low)
         return low
 
-    def _encoded(self, runs: list[str]) -> Iterator[bytes]:
-        """Id bytes of runs without white space: many in one text, told apart by their places."""
-        for i in range(0, len(runs), TOGETHER):
-            some = runs[i : i + TOGETHER]
-            got = self.model.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-            owner = np.searchsorted(ends, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right")
-            cuts = np.searchsorted(owner, np.arange(len(some) + 1)) * 4
-            data = ids.tobytes()
-            yield from (data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-
-    def _of_runs(self, runs: list[str]) -> list[bytes]:
-        """Id bytes of distinct plain runs; only those never met are encoded."""
-        ids = list(map(self.runs.get, runs))
-        missing = [i for i, x in enumerate(ids) if x is None]
+    def _encoded(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs without white space, and where each run's ids end: many in one text, told apart
+        by the ids that end a run. Without empty runs each has such an id, so equal numbers are the same runs."""
+        groups = [runs[i : i + TOGETHER] for i in range(0, len(runs), TOGETHER)]
+        got = self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        parts, sizes = [], []
+        for group, one in zip(groups, got, strict=True):
+            ids = np.array(one.ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            size = np.diff(ends, prepend=0)
+            if len(ends) != len(group) or "" in group:  # a run that the model cuts again, or an empty one
+                alone = list(map(self._ids, group))
+                ids, size = np.array([i for a in alone for i in a], np.uint32), np.array(list(map(len, alone)))
+            parts.append(ids)
+            sizes.append(size)
+        return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
+
+    def _of_runs(self, runs: list[str]) -> np.ndarray:
+        """Numbers of distinct plain runs in the cache; only those never met are encoded."""
+        at = np.fromiter(map(self.runs.get, runs, repeat(-1)), np.int64, len(runs))
+        missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            if len(self.runs) > RUN_CACHE:
-                self.runs.clear()
+            if len(self.runs) > RUN_CACHE:  # the runs of this chunk stay
+                met = np.flatnonzero(at >= 0)
+                self.ids, ends = _taken(self.ids, self.begin[at[met]], np.diff(self.begin)[at[met]], np.arange(len(met) + 1))
+                self.begin, at[met] = ends, np.arange(len(met))
+                self.runs = {runs[i]: n for n, i in enumerate(met.tolist())}
             fresh = [runs[i] for i in missing]
-            for i, run, got in zip(missing, fresh, self._encoded(fresh), strict=True):
-                ids[i] = self.runs[run] = got
-        return ids
+            ids, ends = self._encoded(fresh)
+            numbers = range(len(self.runs), len(self.runs) + len(fresh))
+            at[missing] = numbers
+            self.runs.update(zip(fresh, numbers, strict=True))
+            self.begin = np.concatenate([self.begin, ends + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+        return at
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Id bytes of distinct words of any kind; only those never met are encoded."""
@@ -154,8 +176,8 @@ class WordTokenizer:
         mask = plain.to_numpy(zero_copy_only=False)
         cut = pc.split_pattern(pc.replace_substring_regex(words.filter(plain), CUT, r"\1 "), " ")
         coded = cut.flatten().dictionary_encode()
-        runs = self._of_runs(coded.dictionary.to_pylist())
-        first, ends = _gather(runs, coded.indices.to_numpy(), cut.offsets.to_numpy())
+        at = self._of_runs(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        first, ends = _taken(self.ids, self.begin[at], self.begin[at + 1] - self.begin[at], cut.offsets.to_numpy())
         rest = self._of_words(words.filter(pc.invert(plain)).to_pylist())
         size, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         size[mask], begin[mask] = np.diff(ends), ends[:-1]
@@ -194,12 +216,6 @@ def _taken(pool: np.ndarray, begin: np.ndarray, size: np.ndarray, offsets: np.nd
     return pool[take], ends[offsets - offsets[0]]
 
 
-def _gather(ids: list[bytes], at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    begin = np.cumsum(size) - size
-    return _taken(np.frombuffer(b"".join(ids), "<u4"), begin[at], size[at], offsets)
-
-
 _tokenizers: dict[int, WordTokenizer] = {}
 
 
@@ -226,13 +242,13 @@ def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
 
 
 def _pack(ids: np.ndarray) -> bytes:
-    """Compressed uint32 ids, bytes of equal significance together."""
-    return _zstd()[0].compress(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Compressed ids, after the number of bytes each takes: 2 if all fit, else 4."""
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + _zstd()[0].compress(ids.astype(f"<u{width}"))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(_zstd()[1].decompress(data), np.uint8)
-    return np.frombuffer(planes.reshape(4, -1).T.tobytes(), "<u4")
+    return np.frombuffer(_zstd()[1].decompress(memoryview(data)[1:]), f"<u{data[0]}").astype(np.uint32)
 
 
 def tokenized(docs: DataFrame, definition: bytes, end_id: int) -> DataFrame:
@@ -336,8 +352,8 @@ class Code:
         self.bits = max(lengths.values(), default=1)
         size = max(order, default=0) + 1
         self.code, self.length = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-        self.symbol_at = np.zeros(1 << self.bits, np.uint32)
-        self.length_at = np.zeros(1 << self.bits, np.int8)
+        #: By the next ``bits`` bits, the symbol times 64 and its length.
+        self.entry_at = np.zeros(1 << self.bits, np.uint32 if size < 1 << 26 else np.int64)
         code = last = 0
         for symbol in order:
             length = lengths[symbol]
@@ -345,8 +361,7 @@ class Code:
             last = length
             self.code[symbol], self.length[symbol] = code, length
             span = self.bits - length
-            self.symbol_at[code << span : (code + 1) << span] = symbol
-            self.length_at[code << span : (code + 1) << span] = length
+            self.entry_at[code << span : (code + 1) << span] = symbol << 6 | length
             code += 1
 
     def write(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -367,7 +382,7 @@ class Code:
         """The ``n`` ids of a stream; all intervals advance together, one id per step."""
         raw = np.frombuffer(stream + b"\0" * 8, np.uint8).astype(np.uint32)
         window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-        out = np.zeros((len(marks), INTERVAL), np.uint32)
+        out = np.zeros((INTERVAL, len(marks)), self.entry_at.dtype)
         at = marks.astype(np.int64)
         for k in range(min(n, INTERVAL)):
             if k == (n - 1) % INTERVAL + 1:  # the last interval is over
@@ -375,9 +390,10 @@ class Code:
             bits = (window[at >> 3] >> (32 - self.bits - (at & 7)).astype(np.uint32)) & np.uint32(
                 (1 << self.bits) - 1
             )
-            out[: len(at), k] = self.symbol_at[bits]
-            at = at + self.length_at[bits]
-        return out.ravel()[:n]
+            found = self.entry_at[bits]
+            out[k, : len(at)] = found
+            at = at + (found & 63)
+        return (out.T.ravel()[:n] >> 6).astype(np.uint32)
 
 
 BLOCKS = (
